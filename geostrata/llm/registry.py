@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op4_token_counts": "token_counts",
+    "op6_bpe": "bpe",
     "op7_mixing": "mixing",
     "op9_exact_dedup": "exact_dedup",
 }

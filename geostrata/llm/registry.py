@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op3_quality": "quality",
     "op4_token_counts": "token_counts",
     "op6_bpe": "bpe",
     "op7_mixing": "mixing",

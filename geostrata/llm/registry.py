@@ -11,6 +11,7 @@ _MODULES = {
     "op6_bpe": "bpe",
     "op7_mixing": "mixing",
     "op9_exact_dedup": "exact_dedup",
+    "op10_suffix_dedup": "suffix_dedup",
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_simhash": "simhash",
     "op3_quality": "quality",
     "op4_token_counts": "token_counts",

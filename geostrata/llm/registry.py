@@ -11,6 +11,7 @@ _MODULES = {
     "op4_token_counts": "token_counts",
     "op6_bpe": "bpe",
     "op7_mixing": "mixing",
+    "op8_html_text": "html_text",
     "op9_exact_dedup": "exact_dedup",
     "op10_suffix_dedup": "suffix_dedup",
 }

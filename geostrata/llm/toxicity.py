@@ -36,6 +36,10 @@ WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 15, 12, 12
 WARM, ROUNDS, STEPS, BATCH, RATE = 150, 9, 50, 256, 0.01
 #: Share of toxic documents, those with the lowest scores, that a round leaves out: labels err.
 TRIM = 0.08
+#: Share of clean windows that train as a repeated word; decay of embeddings a step.
+STUTTER, DECAY = 0.2, 0.001
+#: Errors above the least that a cut may have and still count as one of the best.
+SLACK = 0.005
 _CACHE = 150_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -241,6 +245,9 @@ def train(texts: list[list[list[str]]], toxic: np.ndarray, share: float = 0.1, s
 
     def step(at: np.ndarray, y: np.ndarray, rate: float) -> None:
         w = ids[at]
+        # Some clean windows are turned into one of their words, again and again.
+        stutter = (y == 0) & (rng.random(len(at)) < STUTTER)
+        w[stutter] = w[stutter, rng.integers(0, 6, len(at))[stutter]][:, None]
         used, inv = np.unique(np.maximum(w, 0), return_inverse=True)
         inv = inv.reshape(w.shape)
         flat = np.concatenate([gram[first[u] : first[u] + n[u]] for u in used])
@@ -258,6 +265,8 @@ def train(texts: list[list[list[str]]], toxic: np.ndarray, share: float = 0.1, s
         g["Ew"] = sums(word[used], du[:, :DIM], WORDS)
         g["Ec"] = sums(flat, np.repeat(du[:, DIM:] / n[used][:, None], n[used], axis=0), GRAMS)
         adam.step(g, rate)
+        p["Ew"] *= 1 - DECAY
+        p["Ec"] *= 1 - DECAY
 
     def scores() -> np.ndarray:
         return score_windows(p, project(p, embed(p, word, gram, n)), ids)
@@ -286,12 +295,12 @@ def train(texts: list[list[list[str]]], toxic: np.ndarray, share: float = 0.1, s
 
 def calibrate(logit: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     """Slope and offset of the logistic curve of label by logit.  The offset puts
-    a score of 0.5 midway in the cuts with the fewest errors at the given share."""
+    a score of 0.5 midway in the cuts with nearly the fewest errors at the given share."""
     cut = np.unique(logit)
     cut = np.concatenate([[cut[0] - 1], (cut[1:] + cut[:-1]) / 2, [cut[-1] + 1]])
     a, b = np.sort(logit[toxic]), np.sort(logit[~toxic])
     wrong = share * np.searchsorted(a, cut) / len(a) + (1 - share) * (1 - np.searchsorted(b, cut) / len(b))
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    best = np.flatnonzero(wrong <= wrong.min() + SLACK)
     low, high = cut[best[0]], cut[best[-1]]
     at = (low + high) / 2
     spread = max(1e-3, np.abs(np.median(a) - np.median(b)))

@@ -9,6 +9,7 @@ _MODULES = {
     "op2_simhash": "simhash",
     "op3_quality": "quality",
     "op4_token_counts": "token_counts",
+    "op5_pii": "pii",
     "op6_bpe": "bpe",
     "op7_mixing": "mixing",
     "op8_html_text": "html_text",

@@ -21,12 +21,14 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import load, small_batches
 
@@ -397,33 +399,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(texts, got.groupby("id")["toxic"].max().to_numpy() == 1, min(0.5, max(0.01, share or 0.1)))
 
 
-def toxicity(docs: DataFrame, p: dict | None, key: str, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)`` of every row, and the kept columns."""
+def scored(docs: DataFrame, p: dict | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with a double column ``score`` behind its own."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(k).alias(f"k_{k}") for k in keep])
-    kinds, names = dict(rows.dtypes), ["doc_id", *keep, "score"]
-    held = docs.sparkSession.sparkContext.broadcast(p)
+    held, key = docs.sparkSession.sparkContext.broadcast(p), uuid.uuid4().hex
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
+            texts = ["" if t is None else t for t in b.column(at).to_pylist()]
             s = _scorer(p, key)(texts) if p else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(2 + k) for k in range(len(keep))], pa.array(np.asarray(s, np.float64))], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.asarray(s, np.float64))], [*b.schema.names, "score"])
 
-    return rows.mapInArrow(run, "doc_id long, " + "".join(f"`{k}` {kinds[f'k_{k}']}, " for k in keep) + "score double")
-
-
-def model_key(docs: DataFrame) -> str:
-    import uuid
-
-    return uuid.uuid4().hex
+    return docs.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every row of ``documents``."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     p = fit(docs, load(spark, sf_dir, "labels"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    out = toxicity(docs, p, model_key(docs))
-    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, p).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

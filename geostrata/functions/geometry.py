@@ -98,11 +98,14 @@ def round_half(x: Column | str, places: int = 7) -> Column:
 
 
 def varint_size(x: Column | str) -> Column:
-    """Bytes of an unsigned varint; a negative value is a full 10 bytes."""
-    out = F.when(_c(x) < 0, 10)
-    for n in range(1, 9):
-        out = out.when(_c(x) < (1 << (7 * n)), n)
-    return out.otherwise(9)
+    """Bytes of an unsigned varint, seven bits each; a negative value is a full
+    10 bytes.  The argument is evaluated once."""
+    return F.ceil(F.length(F.bin(_c(x))) / 7).cast("int")
+
+
+def nested_size(n: Column) -> Column:
+    """Bytes of a field of ``n`` bytes: tag, length and content."""
+    return F.transform(F.array(n), lambda x: 1 + varint_size(x) + x)[0]
 
 
 def line_size(line: Column, n: int = 2) -> Column:

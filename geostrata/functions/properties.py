@@ -63,6 +63,11 @@ def value_to_string(v: Column) -> Column:
     return F.coalesce(v["s"], plain_number(v["d"]), plain_number(v["f"].cast("double")), v["i"].cast("string"), v["u"].cast("string"), v["b"].cast("string"))
 
 
+def texts(properties: Column | str = "properties") -> Column:
+    """The map with every value as text."""
+    return F.transform_values(F.coalesce(_c(properties), empty()), lambda _, v: value_to_string(v))
+
+
 def map_get_default(properties: Column | str, key: str, default: str = "") -> Column:
     return F.coalesce(value_to_string(get(properties, key)), F.lit(default))
 

@@ -28,7 +28,7 @@ def packed_size() -> Column:
     """Payload bytes of a feature row, by arithmetic alone."""
     v = G.varint_size
     ident = F.when(F.col("id").isNotNull(), 1 + v("id")).otherwise(0)
-    nested = lambda n: 1 + v(n) + n
+    nested = G.nested_size
 
     def prop(e: Column) -> Column:
         x = e["value"]
@@ -60,7 +60,7 @@ def _unsigned_size(u: Column) -> Column:
 
 
 def frame_size(payload: Column) -> Column:
-    return 1 + G.varint_size(payload) + payload
+    return G.nested_size(payload)
 
 
 def stats(rows: DataFrame) -> DataFrame:

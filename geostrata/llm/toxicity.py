@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,13 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(tokens: list[str], block: int = 16384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_features`` in blocks, so that its working memory stays bounded."""
+    parts = [_features(tokens[a : a + block]) for a in range(0, len(tokens), block)] or [_features([])]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word bucket of each token, and its n-gram buckets as a flat array with
     the number of n-grams of each token.  N-grams are runs of 3 to 5 bytes of
     the token between two marks; punctuation at its edges doesn't count."""
@@ -82,6 +89,15 @@ def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word.astype(np.int32), gram[o], np.bincount(own, minlength=len(raw))
 
 
+def project_all(p: dict, word: np.ndarray, gram: np.ndarray, n: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Input projections of many words, in blocks."""
+    out, end = np.zeros((2, len(word), 3 * HIDDEN), np.float32), np.concatenate([[0], np.cumsum(n)])
+    for a in range(0, len(word), block):
+        z = min(len(word), a + block)
+        out[:, a:z] = project(p, embed(p, word[a:z], gram[end[a] : end[z]], n[a:z]))
+    return out
+
+
 def embed(p: dict, word: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     chars = np.add.reduceat(p["Ec"][gram], np.cumsum(n) - n, axis=0) / n[:, None] if len(n) else np.zeros((0, DIM), np.float32)
     return np.concatenate([p["Ew"][word], chars], axis=1).astype(np.float32)
@@ -215,28 +231,37 @@ class Adam:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.999**self.t)) + 1e-7)
 
 
-def train(texts: list[list[list[str]]], toxic: np.ndarray, share: float = 0.1, seed: int = 7) -> dict | None:
-    """Parameters from documents' windows (lists of words) and their labels.
+class Windows:
+    """Windows of the training documents as word ids, filled one by one."""
+
+    def __init__(self) -> None:
+        self.vocab: dict[str, int] = {}
+        self.ids, self.doc, self.toxic = array("i"), array("i"), []
+
+    def document(self, toxic: bool) -> None:
+        self.toxic.append(toxic)
+
+    def add(self, line: list[str]) -> None:
+        get = self.vocab.setdefault
+        self.ids.extend([get(t, len(self.vocab)) for t in line])
+        self.ids.extend([-1] * (WIDTH - len(line)))
+        self.doc.append(len(self.toxic) - 1)
+
+
+def train(data: Windows, share: float = 0.1, seed: int = 7) -> dict | None:
+    """Parameters from documents' windows and their labels.
 
     share: of toxic documents among all, for the calibration.
     """
-    toxic = np.asarray(toxic, bool)
-    if toxic.all() or not toxic.any():
-        return None
-    vocab: dict[str, int] = {}
-    ids, doc = [], []
-    for k, ws in enumerate(texts):
-        for w in ws:
-            ids.append([vocab.setdefault(t, len(vocab)) for t in w] + [-1] * (WIDTH - len(w)))
-            doc.append(k)
-    ids, doc = np.array(ids, np.int32).reshape(-1, WIDTH), np.array(doc)
-    if not vocab:
+    toxic, vocab = np.array(data.toxic, bool), data.vocab
+    if not len(toxic) or toxic.all() or not toxic.any() or not vocab:
         return None
+    ids, doc = np.array(data.ids, np.int32).reshape(-1, WIDTH), np.array(data.doc)
     word, gram, n = features(list(vocab))
     first = np.cumsum(n) - n
     rng, p = np.random.default_rng(seed), fresh(seed)
     adam = Adam(p, RATE)
-    held = rng.random(len(texts)) < 0.2  # for the calibration
+    held = rng.random(len(toxic)) < 0.2  # for the calibration
     learn = ~held[doc]
     pos, neg = np.flatnonzero(toxic[doc] & learn), np.flatnonzero(~toxic[doc] & learn)
     if not len(pos) or not len(neg):
@@ -271,7 +296,7 @@ def train(texts: list[list[list[str]]], toxic: np.ndarray, share: float = 0.1, s
         p["Ec"] *= 1 - DECAY
 
     def scores() -> np.ndarray:
-        return score_windows(p, project(p, embed(p, word, gram, n)), ids)
+        return score_windows(p, project_all(p, word, gram, n), ids)
 
     half = BATCH // 2
     y = np.repeat(np.array([1, 0], np.float32), half)
@@ -287,10 +312,10 @@ def train(texts: list[list[list[str]]], toxic: np.ndarray, share: float = 0.1, s
         for _ in range(STEPS):
             step(np.concatenate([rng.choice(high, half), rng.choice(hard, half // 2), rng.choice(neg, half - half // 2)]), y, RATE * (1 - k / ROUNDS) + 1e-4)
     s = scores()
-    best = np.full(len(texts), p["c"][0], np.float64)
+    best = np.full(len(toxic), p["c"][0], np.float64)
     seen = np.unique(doc)
-    best[seen] = [s[doc == k].max() for k in seen] if len(seen) < 50 else np.maximum.reduceat(s, np.searchsorted(doc, seen))
-    use = held if 20 <= held.sum() and toxic[held].any() and not toxic[held].all() else np.ones(len(texts), bool)
+    best[seen] = np.maximum.reduceat(s, np.searchsorted(doc, seen))
+    use = held if 20 <= held.sum() and toxic[held].any() and not toxic[held].all() else np.ones(len(toxic), bool)
     p["cal"] = calibrate(best[use], toxic[use], share)
     return p
 
@@ -318,7 +343,7 @@ class Scorer:
         self.table = np.zeros((2, 4096, 3 * HIDDEN), np.float32)
 
     def _learn(self, new: list[str]) -> None:
-        gx = project(self.p, embed(self.p, *features(new)))
+        gx = project_all(self.p, *features(new))
         while self.n + len(new) > self.table.shape[1]:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
         self.table[:, self.n : self.n + len(new)] = gx
@@ -392,11 +417,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     picked = rows.join(F.broadcast(sample(labels, most)), F.col("_doc") == F.col("_id")).select("_id", "toxic", "text")
-    got = picked.mapInArrow(cut, "id long, k int, toxic int, line string").toPandas()
-    got = got.sort_values(["id", "k", "line"], kind="stable")
-    texts = [[line.split(" ") for line in g if line] for g in got.groupby("id")["line"].apply(list)]
+    got = picked.mapInArrow(cut, "id long, k int, toxic int, line string").toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("line", "ascending")])
+    data, last = Windows(), None
+    for batch in got.to_batches(max_chunksize=4096):
+        for who, toxic, line in zip(batch["id"].to_pylist(), batch["toxic"].to_pylist(), batch["line"].to_pylist()):
+            if who != last:
+                data.document(toxic == 1)
+                last = who
+            if line:
+                data.add(line.split(" "))
+    del got
     share = labels.where("doc_id is not null").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    return train(texts, got.groupby("id")["toxic"].max().to_numpy() == 1, min(0.5, max(0.01, share or 0.1)))
+    return train(data, min(0.5, max(0.01, share or 0.1)))
 
 
 def scored(docs: DataFrame, p: dict | None, text_col: str = "text") -> DataFrame:

@@ -212,7 +212,7 @@ def score_windows(p: dict, table: np.ndarray, ids: np.ndarray, block: int = 1024
 def windows(ids: np.ndarray) -> np.ndarray:
     """All overlapping windows of a text's word ids, the last padded with -1."""
     n = max(1, -(-(len(ids) - WIDTH + STRIDE) // STRIDE)) if len(ids) else 0
-    full = np.full(max(0, (n - 1) * STRIDE + WIDTH), -1, np.int32)
+    full = np.full((n - 1) * STRIDE + WIDTH if n else 0, -1, np.int32)
     full[: len(ids)] = ids
     return full[np.arange(n)[:, None] * STRIDE + np.arange(WIDTH)] if n else full.reshape(0, WIDTH)
 

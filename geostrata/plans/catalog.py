@@ -186,28 +186,29 @@ def seek_pos(spark, d):
     return f.select("id", F.col("_pos_end").alias("pos_end"))
 
 
-def _tenth(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col("_pos_end") % 10 == 0)
+def _ranges(raw: DataFrame) -> DataFrame:
+    """The positions to look up: here those of every record."""
+    return raw.select("_pos_start", "_pos_end")
 
 
-@q("read_range_raw", SIZED + "SELECT stop - payload AS pos_start, stop AS pos_end, payload AS bytes FROM al WHERE stop % 10 = 0")
+@q("read_range_raw", SIZED + "SELECT stop - payload AS pos_start, stop AS pos_end, payload AS bytes FROM al")
 def read_range_raw(spark, d):
     raw = R.scan_raw(spark, packed_copy(spark, d))
-    got = R.read_ranges(raw, _tenth(raw))
+    got = R.read_ranges(raw, _ranges(raw))
     return got.select(F.col("_pos_start").alias("pos_start"), F.col("_pos_end").alias("pos_end"), F.octet_length("payload").cast("long").alias("bytes"))
 
 
-@q("read_range_feature", SIZED + f"SELECT id, name, acctbal, {qz('lon')} AS qx, {qz('lat')} AS qy FROM al WHERE stop % 10 = 0")
+@q("read_range_feature", SIZED + f"SELECT id, name, acctbal, {qz('lon')} AS qx, {qz('lat')} AS qy FROM al")
 def read_range_feature(spark, d):
     raw = R.scan_raw(spark, packed_copy(spark, d))
-    return qpoint(R.decoded(R.read_ranges(raw, _tenth(raw))))
+    return qpoint(R.decoded(R.read_ranges(raw, _ranges(raw))))
 
 
-@q("read_range_framed", SIZED + "SELECT stop - frame AS frame_start, frame FROM al WHERE stop % 10 = 0")
+@q("read_range_framed", SIZED + "SELECT stop - frame AS frame_start, frame FROM al")
 def read_range_framed(spark, d):
     raw = R.scan_raw(spark, packed_copy(spark, d))
     n = F.octet_length(codec.encode_frame("payload")).cast("long")
-    return R.read_ranges(raw, _tenth(raw)).select((F.col("_pos_end") - n).alias("frame_start"), n.alias("frame"))
+    return R.read_ranges(raw, _ranges(raw)).select((F.col("_pos_end") - n).alias("frame_start"), n.alias("frame"))
 
 
 @q("meta_check", with_("pt") + "SELECT (id % 7 = 0) AS is_metadata, CAST(count(*) AS BIGINT) AS n FROM pt GROUP BY 1")
@@ -713,9 +714,9 @@ def bbox_collection(spark, d):
     return qbounds(c)
 
 
-@q("bbox_points", with_("ln") + f"SELECT id, {QBOX} FROM ln WHERE i < 8 GROUP BY id")
+@q("bbox_points", with_("ln") + f"SELECT id, {QBOX} FROM ln GROUP BY id")
 def bbox_points(spark, d):
-    return qbounds(V.lines(spark, d).select("id", G.bbox(F.array(F.array(F.slice(G.positions(), 1, 8)))).alias("bbox")))
+    return qbounds(V.lines(spark, d).select("id", G.bbox(F.array(F.array(G.positions()))).alias("bbox")))
 
 
 @q("bbox_points_root", with_("ln") + f"SELECT id, {QBOX} FROM (SELECT id, lon + 500 AS lon, lat FROM ln) GROUP BY id")

@@ -28,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches
+from .common import load, small_batches, worker_state
 
-#: Entries of a worker's dictionaries before they start afresh.
-WORDS, FRAGMENTS = 250_000, 150_000
+#: Entries of a generation of a worker's dictionaries.  When one is full, it is
+#: kept as the older generation, from which words in use are taken over.
+WORDS, FRAGMENTS = 200_000, 150_000
 _PLAIN = re.compile("[\x00-ɏ]*")
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 _MAP = [_BYTE[b] for b in range(256)]
-_loaded: dict = {}
 
 
 def default_path() -> str:
@@ -71,6 +71,7 @@ class Codec:
         self.last = Tokenizer.from_str(json.dumps(bare))
         self.mid = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
         self.word: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.frag: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
         self.most = words, fragments
 
@@ -86,13 +87,17 @@ class Codec:
         cuts += [k for k in range(1, len(pre)) if pre[k - 1 : k + 1] not in inside]
         return [pre[a:b] for a, b in zip(cuts, [*cuts[1:], len(pre)])]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], rotate: bool = True) -> None:
         """Put the encodings of new words into the dictionary."""
         mid, last = self.frag
         cut: list[tuple[str, list[list[str]]]] = []
         need: tuple[set, set] = (set(), set())
-        if len(self.word) + len(words) > self.most[0]:
-            self.word.clear()
+        if rotate and len(self.word) + len(words) > self.most[0]:
+            self.word, self.older = {}, self.word
+        known = [w for w in words if w in self.older]
+        self.word.update((w, self.older[w]) for w in known)
+        if known:
+            words = [w for w in words if w not in self.word]
         if len(mid) + len(last) > self.most[1]:
             mid.clear()
             last.clear()
@@ -124,23 +129,18 @@ class Codec:
             words = _SPLIT.findall(t)
             held = self.word
             new = [w for w in dict.fromkeys(words) if w not in held]
-            local = held
             if new:
-                if len(held) + len(new) > self.most[0]:
-                    local = {w: held[w] for w in set(words) if w in held}
-                    self.learn(new)
-                    local |= {w: held[w] for w in new}
-                else:
-                    self.learn(new)
-            pairs = [local[w] for w in words]
+                self.learn(new)
+                if self.word is not held:  # a new generation: this text needs words of both
+                    self.learn([w for w in dict.fromkeys(words) if w not in self.word], False)
+                held = self.word
+            pairs = [held[w] for w in words]
             out.append((b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])))
         return out
 
 
 def codec(path: str) -> Codec:
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+    return worker_state(("bpe", path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The white space of every operator's contract: space and U+0009 to U+000D.
 SPACE = "\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +59,18 @@ def release(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+_state: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], T]) -> T:
+    """What an operator keeps in its Python worker between tasks.  A worker holds
+    one operator's state at a time, which bounds its memory."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def small_batches(spark: SparkSession, rows: str = TEXT_BATCH) -> None:
     """Let Arrow batches of whole texts stay small in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches
+from .common import load, small_batches, worker_state
 
 HUGE, CHUNK, OVERLAP = 32768, 16384, 256
 LIMIT = 1024
 _LATIN = re.compile("[\x00-ɏ‐-‧€]*")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_loaded: dict = {}
 
 
 def default_path() -> str:
@@ -121,9 +120,7 @@ class Counter:
 
 
 def _counter(path: str) -> Counter:
-    if path not in _loaded:
-        _loaded[path] = Counter(path)
-    return _loaded[path]
+    return worker_state(("counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import load, small_batches
+from .common import load, small_batches, worker_state
 
 WIDTH, STRIDE = 24, 12
 SAMPLE, WINDOWS_OF = 3000, {1: 256, 0: 48}
@@ -380,16 +380,6 @@ class Scorer:
             best[np.array(group)[some]] = np.maximum.reduceat(s, (np.cumsum(n) - n)[some])
 
 
-_scorers: dict = {}
-
-
-def _scorer(p: dict, key: str) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(p)
-    return _scorers[key]
-
-
 def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """At most ``most`` toxic and clean labelled ids of the training folds."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
@@ -442,7 +432,7 @@ def scored(docs: DataFrame, p: dict | None, text_col: str = "text") -> DataFrame
         p = held.value
         for b in batches:
             texts = ["" if t is None else t for t in b.column(at).to_pylist()]
-            s = _scorer(p, key)(texts) if p else np.zeros(len(texts))
+            s = worker_state(key, lambda: Scorer(p))(texts) if p else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.asarray(s, np.float64))], [*b.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)

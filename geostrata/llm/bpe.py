@@ -72,7 +72,12 @@ class Codec:
         self.mid = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
         self.word: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
-        self.frag: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        self.frag: tuple[dict[str, tuple[bytes, str]], dict[str, tuple[bytes, str]]] = ({}, {})
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.names) + 1)]
+        # Of lower-case letters, the pairs that are certain cuts; most words have none.
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        cuts = [a + b for a in letters for b in letters if a + b not in self.inside]
+        self.has_cut = re.compile("|".join(cuts)).search if cuts else lambda _: None
         self.most = words, fragments
 
     def pretokens(self, word: str) -> list[str]:
@@ -101,10 +106,22 @@ class Codec:
         if len(mid) + len(last) > self.most[1]:
             mid.clear()
             last.clear()
+        single: list[tuple[str, str, str]] = []
         for w in words:
-            if not _PLAIN.fullmatch(w) or any(s in w for s in self.special):
-                e = self.library.encode(w, add_special_tokens=False)
-                self._put(w, e.ids)
+            # Letters alone, or with a point or comma behind them, are one or two pre-tokens.
+            end = w[-1] if w[-1] in ".," else ""
+            low = w[:-1] if end else w
+            if low.isascii() and low.isalpha():
+                low = low.lower()
+                if not self.has_cut(low):
+                    if low not in last:
+                        need[1].add(low)
+                    if end and end not in last:
+                        need[1].add(end)
+                    single.append((w, low, end))
+                    continue
+            if not _PLAIN.fullmatch(w) or "<" in w and any(s in w for s in self.special):
+                self.word[w] = self._pair(self.library.encode(w, add_special_tokens=False).ids)
                 continue
             parts = [self.fragments(p) for p in self.pretokens(w)]
             for p in parts:
@@ -115,12 +132,20 @@ class Codec:
         for tok, held, new in ((self.mid, mid, need[0]), (self.last, last, need[1])):
             new = list(new)
             for f, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else []):
-                held[f] = e.ids
+                held[f] = self._pair(e.ids)
+        held = self.word
+        for w, low, end in single:
+            a = last[low]
+            if end:
+                b = last[end]
+                a = (a[0] + b[0], a[1] + " " + b[1])
+            held[w] = a
         for w, parts in cut:
-            self._put(w, [i for p in parts for i in [*(i for f in p[:-1] for i in mid[f]), *last[p[-1]]]])
+            pairs = [x for p in parts for x in [*(mid[f] for f in p[:-1]), last[p[-1]]]]
+            held[w] = (b"".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs]))
 
-    def _put(self, word: str, ids: list[int]) -> None:
-        self.word[word] = (b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.names[i] for i in ids]))
+    def _pair(self, ids: list[int]) -> tuple[bytes, str]:
+        return b"".join([self.raw[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each."""

@@ -13,7 +13,9 @@ credential's name with ``=`` or ``:``.  Pattern and instance scores are then
 computed in turns over the graph of their distinct pairs: a pattern's score is
 the mean score of its instances, less a term for few of them; an instance's
 the best of its patterns.  Patterns that reach ``CONFIDENT`` with ``SUPPORT``
-distinct instances give their unseen instances as spans of kind ``id``.
+distinct instances give their unseen instances as spans of kind ``id``.  What
+is a seed in one context is one in all, and instances of confident patterns are
+seeds of a next hop, until a hop finds no further pattern.
 
 Only DataFrame and SQL functions run.  Pairs are pre-aggregated to distinct
 ones before any join, and hot patterns and instances are kept to their counts.
@@ -32,7 +34,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialise
+from .common import load, materialise, release
 
 CONFIDENT, SUPPORT, ROUNDS, PRIOR = 0.8, 3, 2, 0.5
 KINDS = ("email", "ip", "card", "phone")
@@ -144,19 +146,35 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def confident(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns whose score over the pattern-instance graph is high enough."""
+    """Patterns whose score over the pattern-instance graph is high enough.
+
+    A hop is ``rounds`` turns of scores from the known instances.  The instances
+    of its confident patterns are known in the next hop; the last hop is the one
+    that finds no further pattern.  Scores below ``CONFIDENT`` end with their hop:
+    carried on, they would lift every pattern with a few seeds by its own score.
+    """
     pairs = materialise(found.groupBy("pat", "inst").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pairs")
-    # Patterns with a single instance can never be confident: they leave the graph first.
-    support = pairs.groupBy("pat").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("k")).where((F.col("n") >= SUPPORT) & (F.col("k") > 0))
-    graph = materialise(pairs.join(support.select("pat", "n"), "pat"), "graph")
-    scores = graph.select("pat", "inst", "n", F.col("seed").alias("score"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = scores.groupBy("pat", "n").agg((F.sum("score") / (F.col("n") + PRIOR)).alias("p"))
-        patterns = materialise(patterns, "patterns")
-        inst = graph.join(patterns.select("pat", "p"), "pat").groupBy("inst").agg(F.greatest(F.max("seed"), F.max("p")).alias("score"))
-        scores = graph.join(materialise(inst, "instances"), "inst").select("pat", "inst", "n", "score")
-    return patterns.where(F.col("p") >= CONFIDENT).select("pat")
+    known = materialise(pairs.where("seed > 0").select("inst").distinct(), "known")
+    # Patterns below the support can never be confident; what they know of instances is kept above.
+    support = pairs.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    graph = materialise(pairs.select("pat", "inst").join(support, "pat"), "graph")
+    release(pairs)
+    good = None
+    while True:
+        first = graph.join(known.withColumn("score", F.lit(1.0)), "inst", "left").select("pat", "inst", "n", F.coalesce("score", F.lit(0.0)).alias("seed"))
+        scores = first.withColumnRenamed("seed", "score")
+        for k in range(rounds):
+            patterns = scores.groupBy("pat", "n").agg((F.sum("score") / (F.col("n") + PRIOR)).alias("p"))
+            if k < rounds - 1:
+                high = first.join(patterns.select("pat", "p"), "pat").groupBy("inst").agg(F.greatest(F.max("seed"), F.max("p")).alias("score"))
+                scores = graph.join(high, "inst").select("pat", "inst", "n", "score")
+        new = patterns.where(F.col("p") >= CONFIDENT).select("pat")
+        new = materialise(new if good is None else new.join(good, "pat", "left_anti"), "patterns")
+        if new.isEmpty():
+            return new if good is None else good
+        good = new if good is None else good.unionByName(new)
+        more = graph.join(new, "pat", "left_semi").select("inst").distinct().join(known, "inst", "left_anti")
+        known = known.unionByName(materialise(more, "known"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -202,6 +202,27 @@ def test_pii_bootstrap(spark):
     assert not any(got[50 + k] for k in range(30))
 
 
+def test_pii_bootstrap_hops(spark):
+    """Seeds count in every context, and found instances lead to further ones."""
+    word = lambda tag, k: f"{hashlib.md5(f'{tag}{k}'.encode()).hexdigest()}"
+    a, b, c, d, e = ([word(t, k) for k in range(12)] for t in "abcde")
+    forms = [("token =", a), ("login using", a + b[:2]), ("session under", a[:9] + b), ("ticket by", b + c[:3]), ("visit of", b[:6] + c + d[:4]), ("entry at", c[:8] + d)]
+    texts = [f"now {left} {x} then" for left, xs in forms for x in xs] + [f"plain note {x} here" for x in e]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["v"] for r in pii.find(df).collect() for x in r["id"]}
+    held = found = set(a)
+    while True:  # the same by hand: whole hops over sets
+        for _, xs in forms:
+            p1 = {t: len(held & set(ys)) / (len(ys) + pii.PRIOR) for t, ys in forms}
+            high = {x: max([p for t, p in p1.items() if x in dict(forms)[t]] + [float(x in held)]) for _, ys in forms for x in ys}
+            if sum(high[x] for x in xs) / (len(xs) + pii.PRIOR) >= pii.CONFIDENT:
+                found = found | set(xs)
+        if found == held:
+            break
+        held = found
+    assert set(a + b[:2]) <= got == held and not got & set(e)
+
+
 def test_pii_empty(spark):
     assert pii.find(none(spark)).count() == 0
 

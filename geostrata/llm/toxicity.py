@@ -8,9 +8,11 @@ document's score is that of its highest window, calibrated to a probability.
 
 The network is trained in numpy on the driver: at most ``SAMPLE`` toxic and as
 many clean labelled documents (those with the smallest hashed doc_id, folds
-``crc32(doc_id) mod 5 <> 0`` only) give at most ``WINDOWS_OF`` their kind windows
-each, evenly spread.  Windows have no labels, so a toxic document trains with its highest
-window (at first with any), a clean one with its highest and random ones.  Only
+``crc32(doc_id) mod 5 <> 0`` only) train it.  Windows have no labels, so a toxic
+document trains with its highest window (at first with any), a clean one with its
+highest and random ones.  The highest window, in every round and for the
+calibration, is that of all a document's windows, scored in Spark; random ones
+come from at most ``WINDOWS_OF`` their kind a document, evenly spread.  Only
 texts are inputs of a score.  Scoring reads every window of every text.
 
 Defined results: null or empty text is scored as a window without words; with
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import load, small_batches, worker_state
+from .common import load, materialise, release, small_batches, worker_state
 
 WIDTH, STRIDE = 24, 12
 SAMPLE, WINDOWS_OF = 3000, {1: 256, 0: 48}
@@ -248,12 +250,13 @@ class Windows:
         self.doc.append(len(self.toxic) - 1)
 
 
-def train(data: Windows, share: float = 0.1, seed: int = 7) -> dict | None:
+def train(data: Windows, highest: Callable[[dict], dict[int, tuple[float, list[str]]]], share: float = 0.1, seed: int = 7) -> dict | None:
     """Parameters from documents' windows and their labels.
 
+    highest: gives, by document, the logit and words of the highest of all windows.
     share: of toxic documents among all, for the calibration.
     """
-    toxic, vocab = np.array(data.toxic, bool), data.vocab
+    toxic, vocab = np.array(data.toxic, bool), dict(data.vocab)
     if not len(toxic) or toxic.all() or not toxic.any() or not vocab:
         return None
     ids, doc = np.array(data.ids, np.int32).reshape(-1, WIDTH), np.array(data.doc)
@@ -295,26 +298,37 @@ def train(data: Windows, share: float = 0.1, seed: int = 7) -> dict | None:
         p["Ew"] *= 1 - DECAY
         p["Ec"] *= 1 - DECAY
 
-    def scores() -> np.ndarray:
-        return score_windows(p, project_all(p, word, gram, n), ids)
-
+    def tops() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, their highest windows' logits and their places in ``ids``, behind the random ones."""
+        nonlocal ids, word, gram, n, first
+        found = sorted(highest(p).items())
+        new = list(dict.fromkeys(t for _, (_, line) in found for t in line if t not in vocab))
+        if new:
+            vocab.update(zip(new, range(len(vocab), len(vocab) + len(new))))
+            word, gram, n = (np.concatenate(x) for x in zip((word, gram, n), features(new)))
+            first = np.cumsum(n) - n
+        rows = np.full((len(found), WIDTH), -1, np.int32)
+        for row, (_, (_, line)) in zip(rows, found):
+            row[: len(line)] = [vocab[t] for t in line]
+        ids = np.concatenate([ids[:many], rows])
+        return np.array([k for k, _ in found]), np.array([s for _, (s, _) in found]), many + np.arange(len(found))
+
+    many = len(ids)
     half = BATCH // 2
     y = np.repeat(np.array([1, 0], np.float32), half)
     for _ in range(WARM):
         step(np.concatenate([rng.choice(pos, half), rng.choice(neg, half)]), y, RATE)
     for k in range(ROUNDS):
-        s = scores()
-        o = np.lexsort((-s, doc))
-        top = o[np.concatenate([[True], doc[o][1:] != doc[o][:-1]])]  # each document's highest window
-        top = top[learn[top]]
-        high, hard = top[toxic[doc[top]]], top[~toxic[doc[top]]]
-        high = high[s[high] >= np.quantile(s[high], TRIM)]
+        who, s, top = tops()
+        mine = ~held[who]
+        high, hard = top[mine & toxic[who]], top[mine & ~toxic[who]]
+        s = s[mine & toxic[who]]
+        high = high[s >= np.quantile(s, TRIM)]
         for _ in range(STEPS):
             step(np.concatenate([rng.choice(high, half), rng.choice(hard, half // 2), rng.choice(neg, half - half // 2)]), y, RATE * (1 - k / ROUNDS) + 1e-4)
-    s = scores()
+    who, s, _ = tops()
     best = np.full(len(toxic), p["c"][0], np.float64)
-    seen = np.unique(doc)
-    best[seen] = np.maximum.reduceat(s, np.searchsorted(doc, seen))
+    best[who] = s
     use = held if 20 <= held.sum() and toxic[held].any() and not toxic[held].all() else np.ones(len(toxic), bool)
     p["cal"] = calibrate(best[use], toxic[use], share)
     return p
@@ -379,6 +393,26 @@ class Scorer:
             some = np.flatnonzero(n)
             best[np.array(group)[some]] = np.maximum.reduceat(s, (np.cumsum(n) - n)[some])
 
+    def highest(self, text: str) -> tuple[float, list[str]] | None:
+        """The logit and the words of a text's highest window; None without words."""
+        tokens, best = words(text), None
+        step = 3000 * STRIDE  # of a long text, so many windows at a time
+        for a in range(0, max(1, len(tokens) - WIDTH + STRIDE), step):
+            part = tokens[a : a + step - STRIDE + WIDTH]
+            if not part:
+                break
+            new = list(dict.fromkeys(t for t in part if t not in self.ids))
+            if self.n + len(new) > _CACHE:
+                self.ids, self.n = {}, 0
+                new = list(dict.fromkeys(part))
+            if new:
+                self._learn(new)
+            s = score_windows(self.p, self.table, windows(np.fromiter(map(self.ids.__getitem__, part), np.int32, len(part))))
+            k = int(s.argmax())
+            if best is None or s[k] > best[0]:
+                best = float(s[k]), part[k * STRIDE : k * STRIDE + WIDTH]
+        return best
+
 
 def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """At most ``most`` toxic and clean labelled ids of the training folds."""
@@ -405,20 +439,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["id", "k", "toxic", "line"])
 
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Scorer(held.value)
+        for b in batches:
+            found = [(who, x) for who, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if (x := c.highest(text or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([x[0] for _, x in found], pa.float64()), pa.array([" ".join(x[1]) for _, x in found], pa.string())], ["id", "logit", "line"])
+
+    def highest(p: dict) -> dict[int, tuple[float, list[str]]]:
+        nonlocal held
+        held = docs.sparkSession.sparkContext.broadcast(p)
+        best = picked.mapInArrow(top, "id long, logit double, line string").groupBy("id").agg(F.max(F.struct("logit", "line")).alias("x")).select("id", "x.*").toArrow()
+        held.destroy()
+        return {place[i]: (s, line.split(" ")) for i, s, line in zip(*(best[k].to_pylist() for k in ("id", "logit", "line")))}
+
+    held = None
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     picked = rows.join(F.broadcast(sample(labels, most)), F.col("_doc") == F.col("_id")).select("_id", "toxic", "text")
+    # At most twice ``most`` documents: spread over all cores, and read again in every round.
+    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    picked = materialise(picked.repartition(parts, "_id").sortWithinPartitions("_id", "text"), "picked")
     got = picked.mapInArrow(cut, "id long, k int, toxic int, line string").toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("line", "ascending")])
-    data, last = Windows(), None
+    data, last, place = Windows(), None, {}
     for batch in got.to_batches(max_chunksize=4096):
         for who, toxic, line in zip(batch["id"].to_pylist(), batch["toxic"].to_pylist(), batch["line"].to_pylist()):
             if who != last:
+                place[who] = len(data.toxic)
                 data.document(toxic == 1)
                 last = who
             if line:
                 data.add(line.split(" "))
     del got
     share = labels.where("doc_id is not null").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    return train(data, min(0.5, max(0.01, share or 0.1)))
+    p = train(data, highest, min(0.5, max(0.01, share or 0.1)))
+    release(picked)
+    return p
 
 
 def scored(docs: DataFrame, p: dict | None, text_col: str = "text") -> DataFrame:

@@ -159,6 +159,27 @@ def test_toxicity_held_out(spark):
     assert (b < 0.5).mean() > 0.95 and np.mean([[x > y for y in b] for x in a]) > 0.7
 
 
+def test_calibration_takes_the_highest_of_all_windows(spark, monkeypatch):
+    seen, rng = [], np.random.default_rng(1)
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    real = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda logit, toxic, share: seen.append((logit, toxic)) or real(logit, toxic, share))
+    long = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 900, n))
+    rows = [(k, long((30, 2500)[k % 4 > 1]) + " vile" * (k % 2)) for k in range(40)] + [(40, long(20000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 as toxic"))
+    assert p and len(seen) == 1
+    texts = dict(rows)
+    want = {k % 2: [] for k in range(2)}
+    one = toxicity.Scorer(p | {"cal": np.array([1.0, 0.0])})
+    for k in sorted(texts):
+        if zlib.crc32(str(k).encode()) % 5:
+            want[k % 2].append(float(one([texts[k]])[0]))
+    for kind in (0, 1):
+        got = 1 / (1 + np.exp(-seen[0][0][seen[0][1] == kind]))
+        assert all(np.abs(np.array(want[kind]) - x).min() < 1e-5 for x in got)
+
+
 # --- personal data ---
 
 BASE = (

@@ -9,9 +9,10 @@ distrusted labelled documents that the target has not seen (of equal points
 the lowest).  With no distrusted ones, the threshold is the least trusted score.
 
 The raw counts cover all words of all documents.  The trusted target is fitted
-on at most ``SAMPLE`` labelled rows, those with the smallest hashed doc_id; it
-is the only part that a bound touches.  A label's fold is
-``crc32(doc_id) mod 5``: fold 0 sets the threshold, the others the target.
+on at most ``SAMPLE`` trusted labelled rows, those with the smallest hashed
+doc_id; it is the only part that a bound touches.  A label's fold is
+``crc32(doc_id) mod 5``: all of fold 0 sets the threshold, by counts of its
+scores in steps of 1 / ``GRID``; the others the target.
 
 Defined results: null text counts as empty; a document under 20 words or with
 more than 30 % of its words in repeated 8-word windows fails the base rule and
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, load, small_batches
 
-BUCKETS, ALPHA, SAMPLE, WINDOW = 1 << 16, 0.5, 20_000, 8
+BUCKETS, ALPHA, SAMPLE, WINDOW, GRID = 1 << 16, 0.5, 20_000, 8, 1 << 14
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CACHE = 200_000
@@ -104,14 +105,14 @@ def features(text: str) -> tuple[list[str], np.ndarray, tuple[int, int, int, int
 
 
 def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled ids with role 1 (target), 2 or 3 (trusted and
-    distrusted, for the threshold) or 0 (distrusted, not used)."""
+    """Labelled ids with role 1 (target, at most ``sample``), 2 or 3 (trusted and
+    distrusted, for the threshold: all)."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     good = F.col("quality") == 1
     role = F.when(fold > 0, F.when(good, 1).otherwise(0)).otherwise(F.when(good, 2).otherwise(3))
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = rows.select(F.col("doc_id").cast("long").alias("_id"), role.cast("int").alias("role"))
-    return rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    return rows.where("role = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample).unionByName(rows.where("role > 1"))
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -146,19 +147,24 @@ def ratio(target: np.ndarray, raw: np.ndarray, alpha: float = ALPHA) -> np.ndarr
     return np.log((target + alpha) / (target.sum() + alpha * len(target))) - np.log((raw + alpha) / (raw.sum() + alpha * len(raw)))
 
 
-def threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score that best separates the two, by the sum of their error rates."""
+def threshold(good: np.ndarray, bad: np.ndarray, n_good: np.ndarray | None = None, n_bad: np.ndarray | None = None) -> float:
+    """The score that best separates the two, by the sum of their error rates;
+    n_good, n_bad: how often each score is there, once if not given."""
     if not len(good):
         return -np.inf
     if not len(bad):
         return float(good.min())
+
+    def below(x: np.ndarray, n: np.ndarray | None, cut: np.ndarray) -> np.ndarray:
+        o = np.argsort(x)
+        total = np.concatenate([[0], np.cumsum(np.ones(len(x)) if n is None else n[o])])
+        return total[np.searchsorted(x[o], cut)] / total[-1]
+
     cut = np.unique(good)
-    lost = np.searchsorted(np.sort(good), cut) / len(good)
-    passed = 1 - np.searchsorted(np.sort(bad), cut) / len(bad)
-    best = lost + passed
+    best = below(good, n_good, cut) + (1 - below(bad, n_bad, cut))
     at = cut[int(np.flatnonzero(best <= best.min())[0])]
-    below = bad[bad < at]
-    return float((at + below.max()) / 2) if len(below) else float(at)
+    under = bad[bad < at]
+    return float((at + under.max()) / 2) if len(under) else float(at)
 
 
 def score(h: np.ndarray, llr: np.ndarray) -> float:
@@ -168,9 +174,9 @@ def score(h: np.ndarray, llr: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """The buckets' log ratios and the threshold."""
     small_batches(docs.sparkSession)
-    known = F.broadcast(labelled(labels, sample))
+    known = labelled(labels, sample)
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("_doc"))
-    joined = rows.join(known, F.col("_doc") == F.col("_id"), "left")
+    joined = rows.join(F.broadcast(known.where("role = 1")), F.col("_doc") == F.col("_id"), "left")
     llr = ratio(*_counts(joined.select("text", F.coalesce("role", F.lit(-1)).alias("role"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             s = [score(hashed(_WORD.findall(t or "")), llr) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64())], ["role", "score"])
 
-    held = rows.join(known, F.col("_doc") == F.col("_id")).where("role >= 2").select("text", "role")
-    got = held.mapInArrow(run, "role int, score double").collect()  # at most ``sample`` rows
-    good, bad = (np.array([s for r, s in got if r == k]) for k in (2, 3))
-    return llr, threshold(good, bad)
+    # Labels of fold 0 have no bound: no broadcast is forced, and only counts of scores are collected.
+    held = rows.join(known.where("role > 1"), F.col("_doc") == F.col("_id")).select("text", "role")
+    step = F.floor(F.col("score") * GRID).alias("step")
+    got = held.mapInArrow(run, "role int, score double").groupBy("role", step).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    # A step's trusted scores count as its lowest, the distrusted ones as its highest.
+    good, n_good = (np.array([x[k] for x in got if x["role"] == 2]) for k in ("low", "n"))
+    bad, n_bad = (np.array([x[k] for x in got if x["role"] == 3]) for k in ("high", "n"))
+    return llr, threshold(good, bad, n_good, n_bad)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -102,6 +102,15 @@ def test_quality_held_out(spark):
     assert r[r.quality == 1].kept.mean() > 0.95 and (r[r.quality == 0].kept.mean() if (r.quality == 0).any() else 0) < 0.2
 
 
+def test_bound_touches_the_target_alone(spark):
+    labels = spark.range(400).selectExpr("id doc_id", "cast(id % 4 > 0 as int) quality")
+    roles = Counter(r["role"] for r in quality.labelled(labels, 10).collect())
+    fold0 = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert roles == Counter({1: 10, 2: sum(k % 4 > 0 for k in fold0), 3: sum(k % 4 == 0 for k in fold0)})
+    a, b = np.array([0.5, 0.5, 0.2, 0.9]), np.array([0.1, 0.4, 0.4, 0.6])
+    assert quality.threshold(np.array([0.9, 0.5, 0.2]), np.array([0.1, 0.4, 0.6]), np.array([1, 2, 1]), np.array([1, 2, 1])) == quality.threshold(a, b)
+
+
 def test_threshold():
     assert quality.threshold(np.array([]), np.array([1.0])) == -np.inf
     assert quality.threshold(np.array([0.5, 0.2]), np.array([])) == 0.2

@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +71,9 @@ class Codec:
         bare = spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
         self.last = Tokenizer.from_str(json.dumps(bare))
         self.mid = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
-        self.word: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
-        self.frag: tuple[dict[str, tuple[bytes, str]], dict[str, tuple[bytes, str]]] = ({}, {})
+        self.word: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.frag: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.raw = [i.to_bytes(4, "little") for i in range(max(self.names) + 1)]
         # Of lower-case letters, the pairs that are certain cuts; most words have none.
         letters = "abcdefghijklmnopqrstuvwxyz"
@@ -121,7 +122,7 @@ class Codec:
                     single.append((w, low, end))
                     continue
             if not _PLAIN.fullmatch(w) or "<" in w and any(s in w for s in self.special):
-                self.word[w] = self._pair(self.library.encode(w, add_special_tokens=False).ids)
+                self.word[w] = self._bytes(self.library.encode(w, add_special_tokens=False).ids)
                 continue
             parts = [self.fragments(p) for p in self.pretokens(w)]
             for p in parts:
@@ -132,20 +133,24 @@ class Codec:
         for tok, held, new in ((self.mid, mid, need[0]), (self.last, last, need[1])):
             new = list(new)
             for f, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else []):
-                held[f] = self._pair(e.ids)
+                held[f] = self._bytes(e.ids)
         held = self.word
         for w, low, end in single:
             a = last[low]
             if end:
                 b = last[end]
-                a = (a[0] + b[0], a[1] + " " + b[1])
+                a = a + b
             held[w] = a
         for w, parts in cut:
-            pairs = [x for p in parts for x in [*(mid[f] for f in p[:-1]), last[p[-1]]]]
-            held[w] = (b"".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs]))
+            held[w] = b"".join([x for p in parts for x in [*(mid[f] for f in p[:-1]), last[p[-1]]]])
 
-    def _pair(self, ids: list[int]) -> tuple[bytes, str]:
-        return b"".join([self.raw[i] for i in ids]), " ".join([self.names[i] for i in ids])
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.raw[i] for i in ids])
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids as little-endian 32-bit integers; the vocabulary has no
+        decoder, so tokens' names are joined by spaces, special ones included."""
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each."""
@@ -159,8 +164,8 @@ class Codec:
                 if self.word is not held:  # a new generation: this text needs words of both
                     self.learn([w for w in dict.fromkeys(words) if w not in self.word], False)
                 held = self.word
-            pairs = [held[w] for w in words]
-            out.append((b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])))
+            ids = b"".join([held[w] for w in words])
+            out.append((ids, self.decode(ids)))
         return out
 
 

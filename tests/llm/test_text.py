@@ -60,6 +60,14 @@ def test_bpe_small_dictionaries():
         assert np.frombuffer(ids, "<u4").tolist() == e and text == c.library.decode(e, skip_special_tokens=False)
 
 
+def test_bpe_decodes_given_ids():
+    c = bpe.Codec(bpe.default_path())
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        ids = rng.choice(sorted(c.names), n)
+        assert c.decode(ids.astype("<u4").tobytes()) == c.library.decode(ids.tolist(), skip_special_tokens=False)
+
+
 def test_forced_cuts_are_outside_every_token():
     c = bpe.Codec(bpe.default_path())
     pre = c.pretokens("ñññx§¶zqqq")

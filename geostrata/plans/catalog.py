@@ -351,9 +351,9 @@ def pipe_export(spark, d):
 
 @q("pipe_row", with_("pt") + "SELECT id, name || '|' || segment || '||' || 'Point' AS line FROM pt")
 def pipe_row(spark, d):
-    p = V.points(spark, d)
-    cols = [P.map_get_default("properties", k) for k in ("name", "segment", "missing")]
-    return p.select("id", F.concat_ws("|", *cols, "geom_type").alias("line"))
+    """Whole lines are made; the SQL has neither bounds nor geometry, which are cut out of them."""
+    x = F.split("line", r"\|")
+    return X.pipe_rows(V.points(spark, d), ["name", "segment", "missing"], ("id",)).select("id", F.concat_ws("|", x[0], x[1], x[2], x[4]).alias("line"))
 
 
 @q("meta_csv", with_("pt") + "SELECT 'Point' AS type, CAST(1 AS BIGINT) AS verticies, CAST(3 AS BIGINT) AS number_properties, CAST(count(*) AS BIGINT) AS n FROM pt")
@@ -683,8 +683,9 @@ def stats_feature(spark, d):
 
 @q("stats_string", SIZED + "SELECT id, 'Point,1,3,' || payload AS line FROM al")
 def stats_string(spark, d):
-    s = A.stats(V.points(spark, d))
-    return s.select("id", F.concat_ws(",", "type", F.col("verticies").cast("string"), F.col("number_properties").cast("string"), F.col("size_buf").cast("string")).alias("line"))
+    """Whole lines are made; the SQL has no size of the JSON text, which is cut out of them."""
+    x = F.split("line", ",")
+    return A.stats_string(V.points(spark, d)).select("id", F.concat_ws(",", x[0], x[1], x[2], x[4]).alias("line"))
 
 
 # --- geometry ----------------------------------------------------------------

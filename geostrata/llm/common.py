@@ -15,8 +15,8 @@ T = TypeVar("T")
 #: The white space of every operator's contract: space and U+0009 to U+000D.
 SPACE = "\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch of whole texts; keeps a Python worker's memory flat.
-TEXT_BATCH = "256"
+#: Bytes of an Arrow batch; keeps a Python worker's memory flat, whatever the texts' lengths.
+BATCH_BYTES = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,11 +27,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set for the rest of the session.
+    Only where a session on one machine names none (tests) a temporary folder
+    is made and kept for the rest of the session; on a cluster that is an error,
+    as every executor would write to a disk of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = getattr(spark, "_geostrata_dir", None)
         if not d:
             d = spark._geostrata_dir = "file://" + tempfile.mkdtemp(prefix="geostrata-")
@@ -71,9 +74,26 @@ def worker_state(key: object, make: Callable[[], T]) -> T:
     return _state[key]
 
 
-def small_batches(spark: SparkSession, rows: str = TEXT_BATCH) -> None:
-    """Let Arrow batches of whole texts stay small in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of whole texts stay small.  Plans are lazy, so the limit
+    stays in the session; one that is already lower is left as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _bytes(setting: str) -> int:
+    """A size setting in bytes: a number, maybe with a unit."""
+    n = setting.lower().rstrip("b")
+    return int(n[:-1]) << 10 * (1 + "kmgtp".index(n[-1])) if n[-1:].isalpha() else int(n)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, extra: list[str]) -> DataFrame:

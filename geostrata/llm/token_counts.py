@@ -8,7 +8,7 @@ keeps no state but its position, so from p on the right chunk's tokens are the
 text's own; and the left chunk's tokens up to p are too when it began at a
 proven boundary and p lies ``MARGIN`` before its end, where no special string
 or look-ahead can reach past it.  Where the overlap has no common boundary it
-is doubled, up to the whole text.
+is doubled, up to the whole chunk; then the chunk itself doubles.
 
 Short texts in common Latin characters are counted with the vocabulary as
 ranks (the merges' order is checked when it is loaded); every other text goes
@@ -102,7 +102,8 @@ class Counter:
             overlap = self.overlap
             while True:
                 start = max(at, end - overlap)
-                until = min(len(text), end + self.chunk)
+                # Past a chunk without any boundary the next one doubles, so that runs stay linear.
+                until = min(len(text), end + (self.chunk if start > at else max(self.chunk, end - at)))
                 m, right = self._encode(text, start, until)
                 last = max((p for p in right if p <= end - self.margin and p >= at and p in bounds), default=-1)
                 if last > at and (start > at or last in right):

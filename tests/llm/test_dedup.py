@@ -24,7 +24,9 @@ def exact_brute(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[hashlib.sha256(SPACE.sub("", t).encode()).hexdigest()].append((-len(t), i is None, i or 0, i))
-    return Counter((i, min(g)[3], len(g), i == min(g)[3], k) for k, g in groups.items() for *_, i in g)
+    return Counter((g[0][3], g[0][3], len(g), True, k) for k, g in ((k, sorted(g, key=lambda r: r[:3])) for k, g in groups.items())) + Counter(
+        (r[3], g[0][3], len(g), False, k) for k, g in ((k, sorted(g, key=lambda r: r[:3])) for k, g in groups.items()) for r in g[1:]
+    )
 
 
 def test_exact_odd(odd):
@@ -39,6 +41,33 @@ def test_exact_many(spark):
     assert Counter(tuple(r) for r in E.exact_dedup(df).collect()) == exact_brute(rows)
 
 
+def test_exact_keeps_one_row_of_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "ab"), (None, "x"), (None, "x"), (2, "x "), (2, "x ")]
+    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in got) == exact_brute(rows) and sum(r["kept"] for r in got) == 2
+
+
+def test_exact_against_a_kept_history(spark, tmp_path):
+    old = [(i, "ab"[i % 2] * (i % 40)) for i in range(300)]
+    new = [(1000 + i, "abc"[i % 3] * (i % 50) + " " * (i % 2)) for i in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    E.save_index(frame(old), str(tmp_path / "index"))
+    got = E.exact_dedup(frame(new), index=spark.read.parquet(str(tmp_path / "index")))
+    want = Counter({r: n for r, n in exact_brute(old + new).items() if r[0] >= 1000})
+    assert Counter(tuple(r) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("most", [3, 50])
+def test_lookup_in_parts(spark, most):
+    rows = spark.createDataFrame([(i, "x" * (i % 97)) for i in range(400)], "doc_id long, text string")
+    rows = E.digests(rows).withColumn("row", E.F.monotonically_increasing_id())
+    whole, old = E.fold(rows), rows.where("id % 3 = 0")
+    got = E.lookup(E.build_index(E.fold(old)), E.fold(rows.where("id % 3 > 0")), most)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(got.select("digest", "keep_len", "keep_id", "keep_row", "group_size")) == key(whole)
+    assert got.where("member").count() == E.fold(old).count()
+
+
 def test_exact_empty(spark):
     assert E.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -11,33 +11,32 @@ table passes through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from geostrata.llm.common import load, materialise
+from geostrata.llm.common import free_name, load, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on the labels, scores below 0.5."""
     p = toxicity.fit(docs, load(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, p).where("score < 0.5").drop("score")
+    score = free_name(docs, "score")
+    return toxicity.scored(docs, p, out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal but for white space."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("_d")).distinct()
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
     bare = F.translate(F.coalesce("text", F.lit("")), exact_dedup.SPACE, "")
-    mine = docs.withColumn("_sha", F.unhex(F.sha2(bare, 256))).alias("x")
-    on = F.col("x.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("x._sha") == F.col("k._d"))
+    sha, rank = free_name(docs, "sha"), free_name(docs, "rank")
+    mine = docs.withColumn(sha, F.unhex(F.sha2(bare, 256))).alias("x")
+    on = F.col("x.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"x.{sha}") == F.col("k.digest"))
     # Of rows repeated under one doc_id the longest text stays, as the operator's rule has it.
     stay = mine.join(kept.alias("k"), on, "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if twice:
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         order = [F.length("text").desc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
-        from pyspark.sql import Window
-
-        stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(*order))).where("_n = 1")
+        stay = stay.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(*order))).where(F.col(rank) == 1)
     return stay.select(*docs.columns)
 
 
@@ -50,11 +49,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    taken = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    mine = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")).alias("x")
-    on = F.col("x.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("x.source").eqNullSafe(F.col("t.source")) & (F.col("_size") == F.col("t.size"))
-    out = mine.join(taken.alias("t"), on).select(*[F.col(f"x.{c}").alias(c) for c in docs.columns], "_copies")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    taken = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    size, copy = free_name(docs, "size"), free_name(docs, "copy")
+    mine = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")).alias("x")
+    on = F.col("x.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("x.source").eqNullSafe(F.col("t.source")) & (F.col(f"x.{size}") == F.col("t.size"))
+    out = mine.join(taken.alias("t"), on).select(*[F.col(f"x.{c}").alias(c) for c in docs.columns], F.sequence(F.lit(1).cast("long"), "t.copies").alias(copy))
+    return out.select(*docs.columns, F.explode(copy).alias(copy)).drop(copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

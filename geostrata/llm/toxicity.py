@@ -12,12 +12,14 @@ many clean labelled documents (those with the smallest hashed doc_id, folds
 document trains with its highest window (at first with any), a clean one with its
 highest and random ones.  The highest window, in every round and for the
 calibration, is that of all a document's windows, scored in Spark; random ones
-come from at most ``WINDOWS_OF`` their kind a document, evenly spread.  Only
+are drawn from all of them, anew in every round.  The share of toxic documents
+that the calibration supposes is that of the training folds' labels.  Only
 texts are inputs of a score.  Scoring reads every window of every text.
 
 Defined results: null or empty text is scored as a window without words; with
 no labels of either kind in the folds the scores are 0; every row gives a row;
-other columns are ignored.
+other columns are ignored or carried along, but for one with the score's name,
+which the score replaces.
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import load, materialise, release, small_batches, worker_state
 
 WIDTH, STRIDE = 24, 12
-SAMPLE, WINDOWS_OF = 3000, {1: 256, 0: 48}
+SAMPLE = 3000
+#: Random windows of a document before the first round, and of a clean one in each.
+FIRST, DRAWN = 96, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 15, 12, 12
 WARM, ROUNDS, STEPS, BATCH, RATE = 150, 9, 50, 256, 0.01
 #: Share of toxic documents, those with the lowest scores, that a round leaves out: labels err.
@@ -201,13 +205,39 @@ def project(p: dict, x: np.ndarray) -> np.ndarray:
 
 
 def score_windows(p: dict, table: np.ndarray, ids: np.ndarray, block: int = 1024) -> np.ndarray:
-    """Logits of windows of word ids (-1: none) into a table of projections."""
-    out = np.zeros(len(ids), np.float32)
+    """Logits of windows of word ids (-1: none) into a table of projections, as
+    ``forward`` gives them, with fewer passes over memory."""
+    out, hid, (_, width) = np.zeros(len(ids), np.float32), HIDDEN, ids.shape
     for a in range(0, len(ids), block):
         w = ids[a : a + block]
-        at = np.maximum(w, 0)
-        gx = np.stack([table[0][at], table[1][at[:, ::-1]]])
-        out[a : a + block] = forward(p, gx, (w >= 0).astype(np.float32))[0]
+        n, at, mask = len(w), np.maximum(w, 0), (w >= 0).astype(np.float32)
+        ragged, h = bool((w < 0).any()), np.zeros((2, len(w), hid), np.float32)
+        seq, u, g = np.empty((width, n, 2 * hid), np.float32), np.empty((2, n, 3 * hid), np.float32), np.empty((2, n, 3 * hid), np.float32)
+        for k in range(width):
+            back = width - 1 - k
+            np.take(table[0], at[:, k], axis=0, out=g[0], mode="clip")
+            np.take(table[1], at[:, back], axis=0, out=g[1], mode="clip")
+            np.matmul(h, p["U"], out=u)
+            rz = g[..., : 2 * hid] + u[..., : 2 * hid]  # the logistic function by its tangent
+            rz *= 0.5
+            np.tanh(rz, out=rz)
+            rz += 1
+            rz *= 0.5
+            new = rz[..., :hid] * u[..., 2 * hid :]
+            new += g[..., 2 * hid :]
+            np.tanh(new, out=new)
+            nxt = h - new
+            nxt *= rz[..., hid:]
+            nxt += new
+            if ragged:
+                nxt = h + np.stack([mask[:, k], mask[:, back]])[:, :, None] * (nxt - h)
+            h = nxt
+            seq[k, :, :hid], seq[back, :, hid:] = h[0], h[1]
+        e = np.tanh(seq.reshape(-1, 2 * hid) @ p["A"]) @ p["v"]
+        e = np.where(mask.T > 0, e.reshape(width, n), -30)
+        e = np.exp(e - e.max(axis=0)) * (mask.T > 0)
+        s = (seq.reshape(-1, 2 * hid) @ p["w"]).reshape(width, n)
+        out[a : a + block] = (e * s).sum(axis=0) / np.maximum(e.sum(axis=0), 1e-9) + p["c"][0]
     return out
 
 
@@ -233,102 +263,92 @@ class Adam:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.999**self.t)) + 1e-7)
 
 
-class Windows:
-    """Windows of the training documents as word ids, filled one by one."""
+class Words:
+    """Windows as word ids, with the words' features."""
 
-    def __init__(self) -> None:
-        self.vocab: dict[str, int] = {}
-        self.ids, self.doc, self.toxic = array("i"), array("i"), []
+    def __init__(self, lines: list[str]):
+        vocab: dict[str, int] = {}
+        get, flat = vocab.setdefault, array("i")
+        for line in lines:
+            tokens = line.split(" ")
+            flat.extend([get(t, len(vocab)) for t in tokens])
+            flat.extend([-1] * (WIDTH - len(tokens)))
+        self.ids = np.array(flat, np.int32).reshape(-1, WIDTH)
+        self.word, self.gram, self.n = features(list(vocab))
+        self.first = np.cumsum(self.n) - self.n
 
-    def document(self, toxic: bool) -> None:
-        self.toxic.append(toxic)
 
-    def add(self, line: list[str]) -> None:
-        get = self.vocab.setdefault
-        self.ids.extend([get(t, len(self.vocab)) for t in line])
-        self.ids.extend([-1] * (WIDTH - len(line)))
-        self.doc.append(len(self.toxic) - 1)
+#: Of each document with words: number, the highest window's logit and line, random windows' lines.
+Looked = list[tuple[int, float, str, list[str]]]
 
 
-def train(data: Windows, highest: Callable[[dict], dict[int, tuple[float, list[str]]]], share: float = 0.1, seed: int = 7) -> dict | None:
-    """Parameters from documents' windows and their labels.
+def train(toxic: np.ndarray, look: Callable[[dict | None, int], Looked], share: float = 0.1, seed: int = 7) -> dict | None:
+    """Parameters from documents' labels and their windows.
 
-    highest: gives, by document, the logit and words of the highest of all windows.
+    look: gives the highest window by parameters (none before the first round)
+    and random ones, of all windows, in the round of that number.
     share: of toxic documents among all, for the calibration.
     """
-    toxic, vocab = np.array(data.toxic, bool), dict(data.vocab)
-    if not len(toxic) or toxic.all() or not toxic.any() or not vocab:
+    if not len(toxic) or toxic.all() or not toxic.any():
         return None
-    ids, doc = np.array(data.ids, np.int32).reshape(-1, WIDTH), np.array(data.doc)
-    word, gram, n = features(list(vocab))
-    first = np.cumsum(n) - n
     rng, p = np.random.default_rng(seed), fresh(seed)
     adam = Adam(p, RATE)
     held = rng.random(len(toxic)) < 0.2  # for the calibration
-    learn = ~held[doc]
-    pos, neg = np.flatnonzero(toxic[doc] & learn), np.flatnonzero(~toxic[doc] & learn)
-    if not len(pos) or not len(neg):
-        held[:], learn[:] = False, True
-        pos, neg = np.flatnonzero(toxic[doc]), np.flatnonzero(~toxic[doc])
-        if not len(pos) or not len(neg):
+    seen = look(None, 0)
+    with_words = np.array([d for d, *_ in seen], np.int64)
+    kinds = lambda at: {bool(t) for t in toxic[at]}
+    if len(kinds(with_words[~held[with_words]])) < 2:
+        held[:] = False
+        if len(kinds(with_words)) < 2:
             return None
 
-    def step(at: np.ndarray, y: np.ndarray, rate: float) -> None:
-        w = ids[at]
+    def step(x: Words, at: np.ndarray, y: np.ndarray, rate: float) -> None:
+        w = x.ids[at]
         # Some clean windows are turned into one of their words, again and again.
         stutter = (y == 0) & (rng.random(len(at)) < STUTTER)
         w[stutter] = w[stutter, rng.integers(0, 6, len(at))[stutter]][:, None]
         used, inv = np.unique(np.maximum(w, 0), return_inverse=True)
         inv = inv.reshape(w.shape)
-        flat = np.concatenate([gram[first[u] : first[u] + n[u]] for u in used])
-        x_used = embed(p, word[used], flat, n[used])
+        flat = np.concatenate([x.gram[x.first[u] : x.first[u] + x.n[u]] for u in used])
+        n = x.n[used]
+        x_used = embed(p, x.word[used], flat, n)
         # Whole inputs are dropped now and then, so that no single feature carries a word.
         drop = (rng.random((len(used), 2)) > np.array([0.5, 0.1])).astype(np.float32).repeat(DIM, axis=1)
         x_used = x_used * drop
-        x, mask = x_used[inv], (w >= 0).astype(np.float32)
-        gx = project(p, x.reshape(-1, 2 * DIM)).reshape(2, len(at), WIDTH, -1)
+        rows, mask = x_used[inv], (w >= 0).astype(np.float32)
+        gx = project(p, rows.reshape(-1, 2 * DIM)).reshape(2, len(at), WIDTH, -1)
         gx[1] = gx[1][:, ::-1]
         logit, s = forward(p, gx, mask, True)
         d = ((_sigmoid(logit) - y) / len(at)).astype(np.float32)
-        g, dx = backward(p, x, s, d)
+        g, dx = backward(p, rows, s, d)
         du = sums(inv.ravel(), (dx * mask[:, :, None]).reshape(-1, 2 * DIM), len(used)) * drop
-        g["Ew"] = sums(word[used], du[:, :DIM], WORDS)
-        g["Ec"] = sums(flat, np.repeat(du[:, DIM:] / n[used][:, None], n[used], axis=0), GRAMS)
+        g["Ew"] = sums(x.word[used], du[:, :DIM], WORDS)
+        g["Ec"] = sums(flat, np.repeat(du[:, DIM:] / n[:, None], n, axis=0), GRAMS)
         adam.step(g, rate)
         p["Ew"] *= 1 - DECAY
         p["Ec"] *= 1 - DECAY
 
-    def tops() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Documents, their highest windows' logits and their places in ``ids``, behind the random ones."""
-        nonlocal ids, word, gram, n, first
-        found = sorted(highest(p).items())
-        new = list(dict.fromkeys(t for _, (_, line) in found for t in line if t not in vocab))
-        if new:
-            vocab.update(zip(new, range(len(vocab), len(vocab) + len(new))))
-            word, gram, n = (np.concatenate(x) for x in zip((word, gram, n), features(new)))
-            first = np.cumsum(n) - n
-        rows = np.full((len(found), WIDTH), -1, np.int32)
-        for row, (_, (_, line)) in zip(rows, found):
-            row[: len(line)] = [vocab[t] for t in line]
-        ids = np.concatenate([ids[:many], rows])
-        return np.array([k for k, _ in found]), np.array([s for _, (s, _) in found]), many + np.arange(len(found))
-
-    many = len(ids)
     half = BATCH // 2
     y = np.repeat(np.array([1, 0], np.float32), half)
+    lines = [(d, line) for d, _, _, drawn in seen if not held[d] for line in drawn]
+    of = toxic[[d for d, _ in lines]]
+    x, pos, neg = Words([line for _, line in lines]), np.flatnonzero(of), np.flatnonzero(~of)
+    del seen, lines
     for _ in range(WARM):
-        step(np.concatenate([rng.choice(pos, half), rng.choice(neg, half)]), y, RATE)
+        step(x, np.concatenate([rng.choice(pos, half), rng.choice(neg, half)]), y, RATE)
     for k in range(ROUNDS):
-        who, s, top = tops()
-        mine = ~held[who]
-        high, hard = top[mine & toxic[who]], top[mine & ~toxic[who]]
-        s = s[mine & toxic[who]]
-        high = high[s >= np.quantile(s, TRIM)]
+        seen = [r for r in look(p, k + 1) if not held[r[0]]]
+        of, s = toxic[[r[0] for r in seen]], np.array([r[1] for r in seen])
+        drawn = [line for r, t in zip(seen, of) if not t for line in r[3]]
+        x = Words([r[2] for r in seen] + drawn)
+        hard, neg = np.flatnonzero(~of), len(seen) + np.arange(len(drawn))
+        high = np.flatnonzero(of & (s >= np.quantile(s[of], TRIM)))
+        del seen, drawn
         for _ in range(STEPS):
-            step(np.concatenate([rng.choice(high, half), rng.choice(hard, half // 2), rng.choice(neg, half - half // 2)]), y, RATE * (1 - k / ROUNDS) + 1e-4)
-    who, s, _ = tops()
+            step(x, np.concatenate([rng.choice(high, half), rng.choice(hard, half // 2), rng.choice(neg, half - half // 2)]), y, RATE * (1 - k / ROUNDS) + 1e-4)
     best = np.full(len(toxic), p["c"][0], np.float64)
-    best[who] = s
+    for d, s, *_ in look(p, -1):
+        best[d] = s
     use = held if 20 <= held.sum() and toxic[held].any() and not toxic[held].all() else np.ones(len(toxic), bool)
     p["cal"] = calibrate(best[use], toxic[use], share)
     return p
@@ -416,78 +436,86 @@ class Scorer:
 
 def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """At most ``most`` toxic and clean labelled ids of the training folds."""
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    rows = labels.where("doc_id is not null and toxic is not null").where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labels.where("doc_id is not null and toxic is not null").where(fold_of() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     one = lambda k: rows.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(most)
     return one(1).unionByName(one(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> dict | None:
-    """The trained parameters; None without labels of both kinds."""
-    small_batches(docs.sparkSession)
+def fold_of(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for who, toxic, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                tokens = words(text or "")
-                w = windows(np.arange(len(tokens), dtype=np.int32))
-                for k in np.unique(np.linspace(0, len(w) - 1, min(len(w), WINDOWS_OF[toxic])).astype(int)).tolist() if len(w) else [-1]:
-                    line = " ".join(tokens[i] for i in w[k] if i >= 0) if k >= 0 else ""
-                    for to, v in zip(out, (who, k, toxic, line)):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["id", "k", "toxic", "line"])
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Scorer(held.value)
-        for b in batches:
-            found = [(who, x) for who, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if (x := c.highest(text or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([x[0] for _, x in found], pa.float64()), pa.array([" ".join(x[1]) for _, x in found], pa.string())], ["id", "logit", "line"])
 
-    def highest(p: dict) -> dict[int, tuple[float, list[str]]]:
-        nonlocal held
-        held = docs.sparkSession.sparkContext.broadcast(p)
-        best = picked.mapInArrow(top, "id long, logit double, line string").groupBy("id").agg(F.max(F.struct("logit", "line")).alias("x")).select("id", "x.*").toArrow()
-        held.destroy()
-        return {place[i]: (s, line.split(" ")) for i, s, line in zip(*(best[k].to_pylist() for k in ("id", "logit", "line")))}
+def drawn(tokens: list[str], many: int, seed: tuple[int, ...]) -> list[str]:
+    """Lines of at most ``many`` random windows of all that a text has."""
+    n = max(1, -(-(len(tokens) - WIDTH + STRIDE) // STRIDE)) if tokens else 0
+    at = range(n) if n <= many else np.random.default_rng(seed).choice(n, many, replace=False).tolist()
+    return [" ".join(tokens[k * STRIDE : k * STRIDE + WIDTH]) for k in at]
+
 
-    held = None
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> dict | None:
+    """The trained parameters; None without labels of both kinds."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     picked = rows.join(F.broadcast(sample(labels, most)), F.col("_doc") == F.col("_id")).select("_id", "toxic", "text")
     # At most twice ``most`` documents: spread over all cores, and read again in every round.
-    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    parts = 2 * spark.sparkContext.defaultParallelism
     picked = materialise(picked.repartition(parts, "_id").sortWithinPartitions("_id", "text"), "picked")
-    got = picked.mapInArrow(cut, "id long, k int, toxic int, line string").toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("line", "ascending")])
-    data, last, place = Windows(), None, {}
-    for batch in got.to_batches(max_chunksize=4096):
-        for who, toxic, line in zip(batch["id"].to_pylist(), batch["toxic"].to_pylist(), batch["line"].to_pylist()):
-            if who != last:
-                place[who] = len(data.toxic)
-                data.document(toxic == 1)
-                last = who
-            if line:
-                data.add(line.split(" "))
-    del got
-    share = labels.where("doc_id is not null").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    p = train(data, highest, min(0.5, max(0.01, share or 0.1)))
+    known = sorted(map(tuple, picked.groupBy("_id").agg(F.max("toxic")).collect()))
+    place = {who: k for k, (who, _) in enumerate(known)}
+
+    def look(p: dict | None, k: int) -> Looked:
+        held = spark.sparkContext.broadcast(p)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = Scorer(held.value) if held.value else None
+            for b in batches:
+                out: tuple[list, ...] = ([], [], [], [])
+                for who, toxic, text in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    if c is None:
+                        best = (0.0, "")
+                    else:
+                        best = c.highest(text or "")
+                        best = best and (best[0], " ".join(best[1]))
+                    many = FIRST if k == 0 else DRAWN if k > 0 and not toxic else 0
+                    some = drawn(words(text or ""), many, (who & 0xFFFFFFFFFFFFFFFF, k)) if many else []
+                    if best and (some or c is not None):
+                        for to, v in zip(out, (who, *best, some)):
+                            to.append(v)
+                kinds = (pa.int64(), pa.float64(), pa.string(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["id", "logit", "line", "drawn"])
+
+        got = picked.mapInArrow(run, "id long, logit double, line string, drawn array<string>").toArrow()
+        held.destroy()
+        best: dict[int, list] = {}  # rows of one id are one document
+        for who, s, line, some in sorted(zip(*(got[c].to_pylist() for c in ("id", "logit", "line", "drawn")))):
+            old = best.get(who)
+            best[who] = [s, line, (old[2] if old else []) + some]
+        return [(place[who], *x) for who, x in best.items()]
+
+    of = F.avg((F.col("toxic") == 1).cast("double"))
+    share = labels.where("doc_id is not null").where(fold_of() != 0).agg(of).first()[0]
+    p = train(np.array([t == 1 for _, t in known], bool), look, min(0.5, max(0.01, share or 0.1)))
     release(picked)
     return p
 
 
-def scored(docs: DataFrame, p: dict | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with a double column ``score`` behind its own."""
-    small_batches(docs.sparkSession)
-    held, key = docs.sparkSession.sparkContext.broadcast(p), uuid.uuid4().hex
+def scored(docs: DataFrame, p: dict | None, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a double column ``out`` behind its own, in place of one of that name."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()])
+    held, key = spark.sparkContext.broadcast(p), uuid.uuid4().hex
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
         for b in batches:
             texts = ["" if t is None else t for t in b.column(at).to_pylist()]
             s = worker_state(key, lambda: Scorer(p))(texts) if p else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.asarray(s, np.float64))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.asarray(s, np.float64))], [*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -496,7 +524,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every row of ``documents``."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     p = fit(docs, load(spark, sf_dir, "labels"))
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     return scored(docs, p).select(
-        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

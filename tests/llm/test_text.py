@@ -157,13 +157,61 @@ def test_windows_cover_all_words():
         assert set(w[w >= 0].tolist()) == set(range(n)) and (w >= 0).any(axis=1).all()
 
 
+def test_scoring_is_the_naive_forward_pass():
+    """Every window by a loop over words and gates, the text's score by its highest."""
+    rng = np.random.default_rng(5)
+    p = toxicity.fresh() | {"Ew": rng.standard_normal((toxicity.WORDS, toxicity.DIM)).astype(np.float32), "c": np.array([0.3], np.float32), "cal": np.array([1.3, -0.2])}
+    p["b"] = rng.standard_normal(p["b"].shape).astype(np.float32)
+    sig, hid = lambda x: 1 / (1 + np.exp(-x)), toxicity.HIDDEN
+
+    def naive(tokens):
+        x = [toxicity.embed(p, *toxicity.features([t]))[0] for t in tokens]
+        both = []
+        for d, xs in enumerate((x, x[::-1])):
+            h, out = np.zeros(hid), []
+            for v in xs:
+                g, u = v @ p["W"][d] + p["b"][d, 0], h @ p["U"][d]
+                r, z = sig(g[:hid] + u[:hid]), sig(g[hid : 2 * hid] + u[hid : 2 * hid])
+                h = (1 - z) * np.tanh(g[2 * hid :] + r * u[2 * hid :]) + z * h
+                out.append(h)
+            both.append(out if d == 0 else out[::-1])
+        seq = [np.concatenate(ab) for ab in zip(*both)]
+        e = np.exp([np.tanh(s @ p["A"]) @ p["v"] for s in seq])
+        return sum(a * (s @ p["w"]) for a, s in zip(e / e.sum(), seq)) + p["c"][0]
+
+    texts = ["", "one", "Some words, and MORE words. " * 3, " ".join(f"w{k}" for k in rng.integers(0, 99, 61)), " ".join("ab" * 12 + "c"), "größe 漢字 " * 25]
+    for t, got in zip(texts, toxicity.Scorer(p)(texts)):
+        w = toxicity.words(t)
+        logit = max([naive(w[a : a + 24]) for a in range(0, max(1, len(w) - 12), 12)] if w else [p["c"][0]])
+        assert abs(got - sig(1.3 * logit - 0.2)) < 1e-5, t
+
+
+def test_held_out_labels_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(f"w{i}" for i in rng.integers(0, 50, 30)) + " vile" * (k % 2)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    wrong = labels.withColumn("toxic", toxicity.F.when(toxicity.fold_of() == 0, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
+    wrong = wrong.where("toxic = 1 or pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, wrong)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def test_random_windows_are_of_all():
+    tokens = [str(k) for k in range(50_000)]
+    firsts = [int(line.split(" ")[0]) for k in range(200) for line in toxicity.drawn(tokens, 4, (1, k))]
+    assert len(set(firsts)) > 700 and max(firsts) > 45_000 and min(firsts) < 5000
+    assert toxicity.drawn(tokens[:30], 4, (1, 1)) == [" ".join(tokens[:24]), " ".join(tokens[12:30])]
+
+
 def test_toxicity_odd(odd, odd_labels, spark):
     p = toxicity.fit(odd, odd_labels)
-    got = toxicity.scored(odd.drop("score"), p)
+    got = toxicity.scored(odd, p)
+    assert got.columns == [*[c for c in odd.columns if c != "score"], "score"] and toxicity.scored(odd, p, out="s").columns == [*odd.columns, "s"]
     assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.scored(none(spark), p).count() == 0
     assert toxicity.fit(odd, odd_labels.limit(0)) is None
-    assert {r[0] for r in toxicity.scored(odd.drop("score"), None).select("score").collect()} == {0.0}
+    assert {r[0] for r in toxicity.scored(odd, None).select("score").collect()} == {0.0}
 
 
 def test_toxicity_held_out(spark):

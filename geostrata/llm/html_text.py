@@ -1,21 +1,28 @@
-"""Main text of HTML pages as the best-scoring run of blocks.
+"""Main text of HTML pages as the best-scoring run of words and tags.
 
-A page is read into a sequence of tokens: words of text and tags.  Every word
-scores positive and every tag negative, with a weight that depends on where it
-stands: the kinds of the elements around it (article or main body, navigation,
-header, footer, aside, advert, notice, form, comments, list of links) and
-whether it is a link's.  The weights are learned from the labelled pages below.
-A linear scan finds the contiguous run of tokens with the greatest sum; its
-words, less those in elements of a kind that the labels never keep, are the
-text.
+A page is read into a sequence of tokens: words of text and tags.  Words score
+by what they are like: whether they lie in an element that is marked as main
+text, beside one, or on a page without such marks; how many words their block
+has, and whether a third of it is links.  Tags score negative, more so those that
+mostly stand outside main texts.  All weights come from counts over labelled
+pages (``html_labels``): a word's is the log-odds of its kind to be main text.
+One linear scan finds the contiguous run with the greatest sum: that is the text.
 
-Weights are log-odds: a word's is how much more often words of its context are
-main text than not, a tag's is the same of tags less one.
+Elements of the kinds that are never main text (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments) say so by their tag, class,
+id or role.  Their words have no weight: they neither extend nor break a run, and
+are left out of it.  A class name counts word by word: one that speaks of the
+layout or of an absence (``has-sidebar``, ``ad-free``) says nothing, and beside a
+name of main text (``post social``) the others say nothing.  An element of such a
+kind around over half of the page's words that also holds a main text, a heading
+of first rank or a part of the page is taken for a wrapper.  An element marked as
+main text is believed if it holds ``SHARE`` of the page's words.
 
 Defined results: null or empty html gives an empty text; an unclosed element
-ends with its parent, at a block that can't lie in it, or with the page; scripts, styles and
-comments are never text; of equal runs the first counts; every row gives a
-row; other columns are ignored.
+ends with its parent, at a block that can't lie in it, or with the page, an
+unclosed title or text field at the next tag; scripts, styles and markup comments
+are never text; of equal runs the first counts; every row gives a row; other
+columns are ignored.  All passes are linear in the page.
 """
 
 from __future__ import annotations
@@ -30,179 +37,255 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_labels
 from .common import load, small_batches
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|\"|')*)(?:>|(?=<)|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|\"|')*+)(?:>|(?=<)|\Z)", re.S
 )
 _ATTR = re.compile(r"([A-Za-z:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+#: Elements whose content is no text of the page; those whose end a page may lack.
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
+_TO_END = {"script", "style"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section",
     "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-_KIND = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "select": "form", "dialog": "notice", "article": "main", "main": "main"}
-#: Words of a class, id or role by the kind they tell, in order.
-_NAMES = (
-    ("comment", {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion"}),
-    ("advert", {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "banner", "promo", "promotion", "sponsor", "sponsored", "dfp"}),
-    ("notice", {"cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "subscription", "paywall", "overlay", "toast", "disclaimer"}),
-    ("nav", {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "tabs", "skip"}),
-    ("side", {"sidebar", "side", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "tags", "trending", "popular", "complementary"}),
-    ("foot", {"footer", "foot", "copyright", "contentinfo", "colophon"}),
-    ("head", {"masthead", "topbar", "header", "logo", "site"}),
-    ("form", {"form", "search", "login", "signup"}),
-    ("main", {"content", "article", "post", "entry", "main", "story", "body", "text"}),
-)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
-_MARK = "\x00"
+_KIND = {
+    "nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "select": "form", "label": "form",
+    "search": "form", "dialog": "notice", "article": "main", "main": "main",
+}
+#: Parts of a page that a menu can't hold.
+_ENDS_NAV = {"article", "main", "footer", "aside", "header"}
+#: Words of a class, id or role by the kind they tell.
+_NAMES = {
+    "comment": "comment comments commentlist commentary disqus respond replies reply discussion",
+    "advert": "ad ads advert adverts advertisement advertising adsense adbox adslot banner promo promotion sponsor sponsored dfp",
+    "notice": "cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription paywall overlay toast disclaimer",
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
+    "side": "sidebar aside widget widgets related recommended recommendations share sharing social tags trending popular teaser teasers complementary",
+    "foot": "footer foot copyright contentinfo colophon",
+    "head": "masthead topbar header logo",
+    "form": "form search login signup",
+}
+_KIND_OF = {w: k for k, words in _NAMES.items() for w in words.split()}
+_MAIN = set("content article post entry main story body text hentry".split())
+_LAYOUT = set("has with no without non free layout by col cols column columns grid is".split())
+_SPLIT = re.compile(r"[^a-z]+")
+#: Kinds that may be told of an element that is really around the page.
+_WRAPS = {"side", "advert", "notice", "head", "foot", "form", "nav"}
+#: Share of the page's words that a main text must hold, told by its tag or by a name.
+SHARE = {True: 0.1, False: 0.25}
+_GROUP = {"a": "a", "li": "li", "ul": "li", "ol": "li", "p": "p", "br": "p", **{f"h{k}": "p" for k in range(1, 7)}, "blockquote": "p", "td": "cell", "tr": "cell", "th": "cell", "table": "cell"}
 
 
-def kind_of(tag: str, attrs: str) -> str:
-    """The kind that an element's name, class, id and role tell; '' for none."""
-    by_tag = _KIND.get(tag, "")
-    if by_tag and by_tag != "main" and tag != "header":
-        return by_tag
+def kind_of(tag: str, attrs: str) -> tuple[str, bool]:
+    """The kind that an element tells ('' for none), and whether by its tag."""
+    told = _KIND.get(tag, "")
     if attrs and tag not in ("html", "body"):
-        names: set[str] = set()
+        kinds, main = [], False
         for m in _ATTR.finditer(attrs):
-            if m[1].lower() in ("class", "id", "role", "aria-label"):
-                names.update(_SPLIT.split((m[2] or m[3] or m[4] or "").lower()))
-        for kind, words in _NAMES:
-            if names & words:
-                return kind
-    return by_tag
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """``(what, context, link, value)`` in page order; what: ``w`` for text with
-    white space and references as they are, ``t`` for an inline tag, ``b`` for
-    one that ends a block."""
-    stack: list[tuple[str, str]] = []
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            yield "w", _context(stack), any(t == "a" for t, _ in stack), page[at:end]
-        if not m:
-            return
-        at = max(m.end(), end + 1)
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        elif tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = close.end() if close else n
-        elif tag not in _VOID and not m[3].endswith("/"):
-            if tag in _BLOCK:  # an open inline element or paragraph ends here
-                while stack and stack[-1][0] not in _BLOCK or stack and stack[-1][0] == "p" or stack and tag == "li" and stack[-1][0] == "li":
-                    stack.pop()
-            stack.append((tag, kind_of(tag, m[3])))
-        yield "b" if tag in _BLOCK else "t", _context(stack), tag == "a", " " if tag == "br" else ""
-
-
-def _context(stack: list[tuple[str, str]]) -> str:
-    """The innermost kind; a section of its own within the main text counts as
-    what it is, a heading of the main text as main text."""
-    kinds = [k for _, k in stack if k]
-    if not kinds:
-        return "body"
-    bad = [k for k in kinds if k not in ("main", "head")]
-    if bad:
-        return bad[-1]
-    if "head" in kinds and "main" in kinds and kinds.index("main") < kinds.index("head"):
-        return "main"
-    return kinds[0] if "head" in kinds else "main"
-
-
-#: Labelled pages: in each, the main text is between two marks.
-LABELLED = tuple(
-    p.replace("[[", _MARK).replace("]]", _MARK)
-    for p in (
-        '<html><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy now at half price</div><article>[[<h1>How rivers meet the sea</h1><p>A river slows as it nears the coast and drops what it carries.</p><p>So deltas grow, year by year, in the still water.</p>]]</article><footer>Copyright and contact</footer></body></html>',
-        '<body><header><a href="/">Site name</a><p>The daily paper of the town</p></header><main>[[<h2>Council votes on bridge</h2><p>The council voted last night to repair the old bridge.</p><ul><li>Work begins in May</li><li>It ends in autumn</li></ul>]]</main><aside class="sidebar"><h3>Related</h3><p>Other stories about bridges and roads</p></aside><footer><p>All rights reserved</p></footer></body>',
-        '<body><div id="cookie-notice"><p>We use cookies to make this site work.</p><button>Accept</button></div><div class="content">[[<p>Bread needs flour, water, salt and time.</p><p>Knead it until it is smooth.</p>]]</div><div id="comments"><p>Great recipe, thank you so much for it.</p><p>I used less salt than you say.</p></div></body>',
-        '<body><form action="/q"><label>Search the site</label><input name="q"></form><article><header>[[<h1>Winter birds</h1></header><p>Finches and tits come to the garden when snow lies.</p><blockquote>Feed them early in the day.</blockquote>]]</article><section class="related"><a href="/x">Birds of the summer months</a></section></body>',
-        '<body><nav>Menu About Contact</nav><article>[[<p>The mill stood empty for years.</p>]]<div class="ad">Cheap flights to the sun</div></article><footer>Imprint</footer></body>',
-        '<body><div><a href="/1">One</a> <a href="/2">Two</a> <a href="/3">Three</a></div><div>[[<h1>On walking</h1><p>Most people walk too fast to see much of what is near their path.</p><p>Slow down, look up, and count the kinds of trees.</p><p>There are more of them than you think.</p>]]</div><div class="footer">Contact us by post</div></body>',
-    )
-)
+            if m[1].lower() in ("class", "id", "role"):
+                for name in (m[2] or m[3] or m[4] or "").split():
+                    words = [w for w in _SPLIT.split(name.lower()) if w]
+                    if _LAYOUT.intersection(words):
+                        continue
+                    bad = next((_KIND_OF[w] for w in words if w in _KIND_OF), "")
+                    if bad == "head" and _MAIN.intersection(words):  # a heading of the text
+                        continue
+                    if bad:
+                        kinds.append(bad)
+                    else:
+                        main = main or bool(_MAIN.intersection(words))
+        if told in ("", "main") and kinds and not main:
+            return kinds[0], False
+        if not told and main:
+            return "main", False
+    return told, bool(told)
+
+
+class Page:
+    """A page's tokens, and its elements in page order (parents first)."""
+
+    def __init__(self, text: str):
+        #: ``w`` (text as it stands), ``t`` (inline tag) or ``b`` (end of a block); element; value.
+        self.rows: list[tuple[str, int, str, str]] = []
+        self.up, self.kind, self.by_tag, self.link, self.part = [-1], [""], [False], [False], [False]
+        self._read(text)
+        self._resolve()
+
+    def _read(self, text: str) -> None:
+        stack, depth, at, n, never = [(0, "")], Counter(), 0, len(text), set()
+        while at < n:
+            m = _TOKEN.search(text, at)
+            end = m.start() if m else n
+            if end > at:
+                self.rows.append(("w", stack[-1][0], "", text[at:end]))
+            if not m:
+                return
+            at = max(m.end(), end + 1)
+            if not m[2]:
+                continue
+            tag, closing = m[2].lower(), m[1] == "/"
+            if closing:
+                if depth[tag]:
+                    while True:
+                        name = stack.pop()[1]
+                        depth[name] -= 1
+                        if name == tag:
+                            break
+            elif tag in _RAW:
+                if not m[3].rstrip().endswith("/"):
+                    close = None if tag in never else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
+                    if close:
+                        at = close.end()
+                    else:
+                        never.add(tag)
+                        stop = n if tag in _TO_END else text.find("<", at)
+                        at = stop if stop >= 0 else n
+            elif tag not in _VOID and not m[3].endswith("/"):
+                if tag in _BLOCK:  # an open inline element or paragraph ends here
+                    while stack[-1][1] and (stack[-1][1] not in _BLOCK or stack[-1][1] == "p" or tag == stack[-1][1] == "li"):
+                        depth[stack.pop()[1]] -= 1
+                    if tag in _ENDS_NAV and depth["nav"]:
+                        while True:
+                            name = stack.pop()[1]
+                            depth[name] -= 1
+                            if name == "nav":
+                                break
+                kind, by_tag = kind_of(tag, m[3])
+                self.up.append(stack[-1][0])
+                self.kind.append(kind)
+                self.by_tag.append(by_tag)
+                self.link.append(tag == "a" or self.link[stack[-1][0]])
+                self.part.append(kind == "main" or tag in ("h1", "nav", "header", "footer"))
+                stack.append((len(self.up) - 1, tag))
+                depth[tag] += 1
+            self.rows.append(("b" if tag in _BLOCK else "t", stack[-1][0], tag, " " if tag == "br" else ""))
+
+    def _resolve(self) -> None:
+        """What surrounds each element: the kind that holds there, or ``main``,
+        ``beside`` a main text, or ``free`` on a page without one."""
+        n = len(self.up)
+        self.size = [len(v.split()) if w == "w" else 0 for w, _, _, v in self.rows]
+        words, talk = [0] * n, [False] * n  # words outside links, menus and comments
+        for e in range(1, n):
+            talk[e] = talk[self.up[e]] or self.kind[e] == "comment" or self.kind[e] == "nav" and self.by_tag[e]
+        for (_, e, _, _), k in zip(self.rows, self.size):
+            if k and not self.link[e] and not talk[e]:
+                words[e] += k
+        holds = [False] * n
+        for e in range(n - 1, 0, -1):
+            words[self.up[e]] += words[e]
+            holds[self.up[e]] = holds[self.up[e]] or holds[e] or self.part[e]
+        at = [""] * n
+        for e in range(1, n):
+            over, kind = at[self.up[e]], self.kind[e]
+            if kind in _WRAPS and 2 * words[e] > words[0] and holds[e]:
+                kind = ""
+            if not kind or kind == "main" and over or kind == "head" and over == "main":
+                at[e] = over
+            else:
+                at[e] = kind
+        # Words of main texts, and of all that is of no other kind.
+        held, of = {True: 0, False: 0}, [False] * n
+        every = 0
+        for e in range(1, n):
+            of[e] = self.by_tag[e] if self.kind[e] == "main" else of[self.up[e]]
+        for (_, e, _, _), k in zip(self.rows, self.size):
+            if k and at[e] in ("", "main") and not self.link[e]:
+                every += k
+                if at[e]:
+                    held[of[e]] += k
+        marks = any(k and k >= SHARE[by_tag] * every for by_tag, k in held.items())
+        self.at = [("main" if marks else "free") if a == "main" else a or ("beside" if marks else "free") for a in at]
+
+    def kinds(self) -> list[tuple]:
+        """The key of each token's weight."""
+        out: list[tuple] = []
+        start = 0
+        for end in range(len(self.rows) + 1):
+            if end < len(self.rows) and self.rows[end][0] != "b":
+                continue
+            n = sum(self.size[start:end])
+            linked = sum(k for (_, e, _, _), k in zip(self.rows[start:end], self.size[start:end]) if self.link[e])
+            look = (3 * linked > n, 0 if n < 4 else 1 if n < 15 else 2)
+            for what, e, tag, _ in self.rows[start:end]:
+                out.append(("w", self.at[e], *look) if what == "w" else ("t", self.at[e], _GROUP.get(tag, "")))
+            if end < len(self.rows):
+                out.append(("t", self.at[self.rows[end][1]], _GROUP.get(self.rows[end][2], "block")))
+            start = end + 1
+        return out
 
 
-def weights(pages: tuple[str, ...] = LABELLED) -> dict[tuple[str, str, bool], float]:
-    """Score of a word (``w``) or a tag by context and link."""
+def weights(pages: list[str] | None = None) -> dict[tuple, float]:
+    """The weights of words and tags by kind, from labelled pages."""
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for page in pages:
-        inside = False
-        for what, context, link, value in tokens(page):
+    for text in html_labels.pages() if pages is None else pages:
+        page, inside = Page(text), False
+        for (what, _, _, value), key in zip(page.rows, page.kinds()):
             if what == "w":
-                for k, part in enumerate(value.split(_MARK)):
+                for k, part in enumerate(value.split(html_labels.MARK)):
                     inside ^= k > 0
-                    seen[inside]["w", context, link] += len(_WORD.findall(part))
+                    seen[inside][key] += len(part.split())
             else:
-                seen[inside]["t", context, link] += 1
+                seen[inside][key] += 1
     out = {}
-    for context in ("main", "body", "nav", "head", "foot", "side", "advert", "notice", "form", "comment"):
-        for what in "wt":
-            for link in (False, True):
-                key = (what, context, link)
-                odds = math.log((seen[True][key] + 0.5) / (seen[False][key] + 0.5))
-                # Words of contexts that no label keeps never count for a run.
-                out[key] = max(odds, 0.1) if what == "w" and context in ("main", "body") and not link else odds if what == "w" else min(odds, 0.0) / 4 - 0.25
-    for link in (False, True):
-        out["w", "main", link] = max(out["w", "main", link], 1.0)
-        out["t", "main", link] = -0.1
+    for key in {*seen[True], *seen[False]}:
+        a, b = seen[True][key] + 1, seen[False][key] + 1
+        if key[1] in _NAMES:  # never main text, whatever is around it
+            out[key] = 0.0
+        elif key[0] == "w":
+            out[key] = math.log(a / b)
+        else:
+            out[key] = -0.02 - 0.5 * b / (a + b)
     return out
 
 
-_weights: list[dict] = []
+_weights: list[dict[tuple, float]] = []
 
 
-def extract(page: str) -> str:
-    """The main text of a page: blocks joined by newlines."""
-    if not page:
-        return ""
+def _weight(key: tuple) -> float:
+    """The weight of a kind; one that no label has counts as the least of its look."""
     if not _weights:
         _weights.append(weights())
-    w = _weights[0]
-    rows = [(what, context, link, value) for what, context, link, value in tokens(page)]
-    article = any(context == "main" for _, context, _, _ in rows)
-    # Maximum-scoring subsequence: restart wherever the sum so far is not positive.
+    if key not in _weights[0]:
+        like = [v for k, v in _weights[0].items() if k[:2] == key[:2]]
+        _weights[0][key] = 0.0 if key[1] in _NAMES else min(like, default=0.0 if key[0] == "w" else -0.5)
+    return _weights[0][key]
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run with the greatest positive sum, the
+    first of equal ones; (0, 0) if there is none."""
     best, top, run, start = 0.0, (0, 0), 0.0, 0
-    for k, (what, context, link, value) in enumerate(rows):
-        if article and context == "body":  # the page marks its main text itself
-            s = -1.0
-        elif what == "w":
-            s = len(_WORD.findall(value)) * w["w", context, link]
-        else:
-            s = w["t", context, link]
-        # Kinds that are never kept cost at most a little, so that an advert within doesn't end a text.
-        s = max(s, -0.5) if context not in ("main", "body") else s
+    for k, s in enumerate(scores):
         if run <= 0:
             run, start = 0.0, k
         run += s
         if run > best:
             best, top = run, (start, k + 1)
+    return top
+
+
+def extract(text: str) -> str:
+    """The main text of a page: blocks joined by newlines."""
+    if not text:
+        return ""
+    page = Page(text)
+    scores = [_weight(key) * (size if key[0] == "w" else 1) for key, size in zip(page.kinds(), page.size)]
     blocks, now = [], []
-    for what, context, _, value in rows[slice(*top)]:
+    for what, e, _, value in page.rows[slice(*best_run(scores))]:
         if what == "b":
             blocks.append("".join(now))
             now = []
-        elif context in ("main", "body") and not (article and context == "body"):
+        elif page.at[e] not in _NAMES:
             now.append(value)
     blocks.append("".join(now))
-    text = [" ".join(html.unescape(b).split()) for b in blocks]
-    return "\n".join(t for t in text if t)
+    lines = [" ".join(html.unescape(b).split()) for b in blocks]
+    return "\n".join(t for t in lines if t)
 
 
 def main_text(pages: DataFrame, keep: tuple[str, ...] = (), html_col: str = "html") -> DataFrame:

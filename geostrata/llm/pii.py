@@ -37,6 +37,10 @@ from pyspark.sql import functions as F
 from .common import load, materialise, release
 
 CONFIDENT, SUPPORT, ROUNDS, PRIOR = 0.8, 3, 2, 0.5
+#: Elements of a running sum's block.
+BLOCK = 256
+#: Stands for the characters of a base span; no base pattern holds it.
+MARK, WORD_CHAR = "\u0001", r"[^\x20\x09-\x0D]"
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -48,31 +52,50 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _NAME = r"(?i)(?:^|[^a-z])(?:token|secret|password|passwd|pwd|api_?key|access_?key|key|ssn|iban|passport|account|license|auth|bearer|credential)[^a-z]*$"
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _running(steps: Column) -> Column:
+    """Running sums of an array of longs, by blocks: appending to one growing array
+    would take time with the square of its length."""
+
+    def sums(x: Column, start: Column, inclusive: bool) -> Column:
+        return F.aggregate(
+            x,
+            F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v if inclusive else acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
+    zero = F.lit(0).cast("long")
+    total = lambda x: F.aggregate(x, zero, lambda acc, v: acc + v)
+    starts = lambda blocks: sums(F.transform(blocks, total), zero, False)
+    return _let(_let(steps, cut), lambda blocks: _let(starts(blocks), lambda at: F.flatten(F.transform(blocks, lambda x, k: sums(x, at[k], True)))))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """A text as an array of (p, m): what lies before a match, and the match; the
+    last has no match."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, end, value), in code points.
 
     The pieces between matches give the positions: a match begins after all
     pieces up to it and all matches before it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,v:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["p"])).alias("s"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e"), x["m"].alias("v")
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walk
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+
+    def spans(z: Column) -> Column:
+        ends = _running(F.transform(z, lambda x: size(x["p"]) + size(x["m"])))
+        one = lambda end, m: F.struct((end - size(m)).alias("s"), end.alias("e"), m.alias("v"))
+        return F.filter(_let(ends, lambda at: F.transform(z, lambda x, k: one(at[k], x["m"]))), lambda x: x["v"].isNotNull())
+
+    return _let(_parts(text, pattern), spans)
 
 
 def _luhn(digits: Column) -> Column:
@@ -120,29 +143,48 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows
 
 
+def _masked(kind: str) -> Column:
+    """A text whose valid spans of a kind hold a mark for every character but white space."""
+    mark = lambda m: F.when(_valid(kind, m), F.regexp_replace(m, WORD_CHAR, MARK)).otherwise(m)
+    one = lambda x: F.concat(x["p"], F.coalesce(mark(x["m"]), F.lit("")))
+    return F.when(F.size(kind) > 0, F.array_join(F.transform(_parts(F.col("text"), PATTERNS[kind]), one), "")).otherwise(F.col("text"))
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """Words with a digit: ``(row, s, e, inst, pat, seed)`` in exploded form."""
-    space = r"[\x20\x09-\x0D]+"
+    """Words with a digit: ``(row, s, e, inst, pat, covered, seed)`` in exploded form.
+
+    The words' arrays stay in their row: what is exploded is one small struct for
+    each candidate, so that the work is in proportion to the text.
+    """
+    space, digit = r"[\x20\x09-\x0D]+", "[0-9]"
     lengths = lambda k: F.transform(k, lambda x: F.length(x).cast("long"))
-    words = rows.where(F.col("text").rlike("[0-9]")).select("row", *KINDS, F.split("text", space, -1).alias("w"), lengths(F.regexp_extract_all("text", F.lit(space), F.lit(0))).alias("gap"))
-    words = words.withColumn("len", lengths(F.col("w")))
-    at = F.expr("filter(transform(w, (x, i) -> CASE WHEN x RLIKE '[0-9]' THEN i END), i -> i IS NOT NULL)")
-    lo = "greatest(0, i - 2)"
-    found = words.select("row", *KINDS, "len", "gap", "w", F.explode(at).alias("i")).select(
-        "row", *KINDS,
-        F.expr("aggregate(slice(len, 1, i), 0L, (a, x) -> a + x) + aggregate(slice(gap, 1, i), 0L, (a, x) -> a + x)").alias("at"),
-        F.expr("w[i]").alias("word"), F.expr(f"array_join(slice(w, {lo} + 1, i - {lo}), ' ')").alias("left"),
-    )
+
+    def each(x: Column) -> Column:
+        w, masked = x["w"], [x[k] for k in KINDS]
+        at = F.filter(F.transform(w, lambda v, i: F.when(v.rlike(digit), i)), lambda i: i.isNotNull())
+
+        def one(i: Column) -> Column:
+            lo = F.greatest(F.lit(0), i - 2)
+            start = F.when(i == 0, F.lit(0).cast("long")).otherwise(x["ends"][i - 1])
+            covered = reduce(or_, [F.coalesce(m[i] != w[i], F.lit(False)) for m in masked])
+            return F.struct(start.alias("at"), w[i].alias("word"), F.array_join(F.slice(w, lo + 1, i - lo), " ").alias("left"), covered.alias("covered"))
+
+        return F.transform(at, one)
+
+    words = lambda c: F.split(c, space, -1)
+    w = words(F.col("text"))
+    gaps = lengths(F.regexp_extract_all("text", F.lit(space), F.lit(0)))
+    ends = _running(F.zip_with(lengths(w), gaps, lambda a, b: a + F.coalesce(b, F.lit(0).cast("long"))))
+    mine = F.struct(w.alias("w"), ends.alias("ends"), *[F.when(F.size(k) > 0, words(_masked(k))).alias(k) for k in KINDS])
+    found = rows.where(F.col("text").rlike(digit)).select("row", F.explode(_let(mine, each)).alias("x")).select("row", "x.*")
     bare = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     skip = F.length(F.regexp_extract("word", r"^[^\p{L}\p{N}]*", 0))
     found = found.withColumn("inst", bare).withColumn("s", F.col("at") + skip).withColumn("e", F.col("s") + F.length("inst"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("inst", r"[0-9]+", "9"), r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
     shape = F.when(F.length("inst") >= 20, F.lit("long")).otherwise(shape)
     left = F.regexp_replace(F.lower("left"), "[0-9]", "9")
-    within = lambda k: F.exists(k, lambda x: (x["s"] < F.col("e")) & (F.col("s") < x["e"]))
-    covered = reduce(or_, map(within, KINDS))
     named = F.coalesce(F.col("left").rlike(_NAME) & F.col("left").rlike(r"[:=]$"), F.lit(False)) & (F.length("inst") >= 6)
-    return found.where("inst rlike '[0-9]'").select("row", "s", "e", "inst", F.concat_ws("|", left, shape).alias("pat"), covered.alias("covered"), (covered | named).alias("seed"))
+    return found.where("inst rlike '[0-9]'").select("row", "s", "e", "inst", F.concat_ws("|", left, shape).alias("pat"), "covered", (F.col("covered") | named).alias("seed"))
 
 
 def confident(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -16,7 +16,11 @@ a shard's share.
 Within a shard a tree over whole fingerprints, with vantage points from the
 shard, finds the pairs: a branch is pruned when the triangle bound exceeds the
 radius, and linked as a whole when it guarantees it.  Each shard returns a
-forest of its links (at most one per fingerprint), not all pairs.
+forest of its links (at most one per fingerprint), not all pairs.  A shard of
+more than ``SPLIT`` rows (a dense template) is cut into portions of about that
+size by a hash of the fingerprint; a task then searches the trees of one portion
+for the queries of one portion, so that no task holds more than two, and the
+forests of all tasks have the shard's links.
 
 Equal fingerprints are folded first, so copies cost one row.  Defined results:
 null or empty text has fingerprint 0 and is linked like any other; repeated
@@ -42,6 +46,8 @@ PARTS, PART_RADIUS = ((0, 21), (21, 21), (42, 22)), 1
 VANTAGE = 0x9E3779B97F4A7C15
 #: Fingerprints up to which a node of a shard's tree is searched as it is.
 LEAF = 192
+#: Rows of a shard beyond which it is cut into portions.
+SPLIT = 65_536
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -118,22 +124,30 @@ def route(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Forest:
-    """Union-find over a shard's fingerprints."""
+    """Union-find over a shard's fingerprints, for many of them at a time."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+        self.up = np.arange(n)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        r = self.up[at]
+        while True:
+            nxt = self.up[r]
+            if np.array_equal(nxt, r):
+                self.up[at] = r
+                return r
+            r = nxt
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link a[k] with b[k] for every k."""
+        a, b = self.roots(a), self.roots(b)
+        differ = a != b
+        while differ.any():
+            low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+            np.minimum.at(self.up, high, low)
+            # A root that met two lower ones kept the least: the others are linked next.
+            a, b = self.roots(low), self.roots(high)
+            differ = a != b
 
 
 def search(fp: np.ndarray, stored: np.ndarray, asked: np.ndarray, forest: Forest, radius: int = RADIUS, leaf: int = LEAF) -> None:
@@ -149,9 +163,10 @@ def search(fp: np.ndarray, stored: np.ndarray, asked: np.ndarray, forest: Forest
         if len(s) <= leaf:
             block = max(1, 200_000 // len(s))
             for a in range(0, len(q), block):
-                near = np.bitwise_count(fp[q[a : a + block], None] ^ fp[s][None, :]) <= radius
-                for i, j in zip(*np.nonzero(near)):
-                    forest.link(int(q[a + i]), int(s[j]))
+                part = q[a : a + block]
+                i, j = np.nonzero(np.bitwise_count(fp[part, None] ^ fp[s][None, :]) <= radius)
+                if len(i):
+                    forest.link(part[i], s[j])
             continue
         # The stored point in the middle of the fingerprints' order is the vantage point.
         v = fp[s[len(s) // 2]]
@@ -161,19 +176,16 @@ def search(fp: np.ndarray, stored: np.ndarray, asked: np.ndarray, forest: Forest
             cuts = cuts[:0]
         edges = [-1, *[int(c) for c in cuts if c < ds.max()], 64]
         for lo, hi in zip(edges, edges[1:]):
-            inside = s[(ds > lo) & (ds <= hi)]
+            mine = (ds > lo) & (ds <= hi)
+            inside, d = s[mine], ds[mine]
             if not len(inside):
                 continue
-            d = ds[(ds > lo) & (ds <= hi)]
             least, most = int(d.min()), int(d.max())
             whole = dq + most <= radius
             if whole.any():
-                centre = int(inside[0])
-                for i in q[whole].tolist():
-                    forest.link(i, centre)
-                first = int(q[whole][0])
-                for j in inside.tolist():
-                    forest.link(first, j)
+                first = q[whole][0]
+                forest.link(q[whole], np.full(int(whole.sum()), inside[0]))
+                forest.link(inside, np.full(len(inside), first))
             some = ~whole & (dq >= least - radius) & (dq <= most + radius)
             if len(inside) == len(s):  # no progress by this vantage point: halve the shell
                 half = len(s) // 2
@@ -182,15 +194,45 @@ def search(fp: np.ndarray, stored: np.ndarray, asked: np.ndarray, forest: Forest
                 todo.append((inside, q[some]))
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of a shard's links, as pairs of positions."""
-    stored, asked = np.flatnonzero(home), np.arange(len(fp))
+def shard_links(fp: np.ndarray, stored: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of a shard's links, as positions; stored, asked: masks."""
     forest = Forest(len(fp))
-    search(fp, stored, asked, forest)
-    return [(i, forest.find(i)) for i in range(len(fp)) if forest.find(i) != i]
+    search(fp, np.flatnonzero(stored), np.flatnonzero(asked), forest)
+    roots = forest.roots(np.arange(len(fp)))
+    at = np.flatnonzero(roots != np.arange(len(fp)))
+    return at, roots[at]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of groups (rows sorted by shard, p and q) of fingerprints."""
+
+    def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
+        fp, stored, asked = (np.concatenate(x) for x in zip(*parts))
+        if len(fp) < 2 or not stored.any():
+            return None
+        a, b = shard_links(fp, stored, asked)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+
+    now, parts = None, []
+    for batch in batches:
+        key = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)])
+        fp = np.asarray(batch.column(3)).view(np.uint64)
+        stored, asked = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            if a == z:
+                continue
+            if now is not None and tuple(key[:, a]) != now:
+                if (out := flush(parts)) is not None:
+                    yield out
+                parts = []
+            now = tuple(key[:, a])
+            parts.append([fp[a:z], stored[a:z], asked[a:z]])
+    if parts and (out := flush(parts)) is not None:
+        yield out
 
 
-def links(nodes: DataFrame, radius_bits: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius_bits: int | None = None, split: int = SPLIT) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints (column ``fp``) whose
     transitive closure is that of all pairs within the radius."""
     bits = radius_bits or run_bits(nodes.count())
@@ -200,42 +242,23 @@ def links(nodes: DataFrame, radius_bits: int | None = None) -> DataFrame:
             shard, fp, home = route(np.asarray(b.column(0)).view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp.view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[tuple[np.ndarray, np.ndarray]], out: tuple[list, list]) -> None:
-            fp, home = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            if len(fp) > 1 and home.any():
-                for i, j in shard_links(fp, home):
-                    out[0].append(int(fp[i].astype(np.int64)))
-                    out[1].append(int(fp[j].astype(np.int64)))
-
-        now, parts, out = None, [], ([], [])
-        for b in batches:
-            shard = np.asarray(b.column(0))
-            fp, home = np.asarray(b.column(1)).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            for a, z in zip(cuts, cuts[1:]):
-                if a == z:
-                    continue
-                if shard[a] != now and parts:
-                    flush(parts, out)
-                    parts = []
-                now = shard[a]
-                parts.append((fp[a:z], home[a:z]))
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-                out = ([], [])
-        if parts:
-            flush(parts, out)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    try:
-        routed = nodes.select("fp").mapInArrow(send, "shard long, fp long, home boolean")
-        found = routed.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long").distinct()
-        return materialise(found, "links")
-    finally:
-        small_batches(spark)
+    routed = nodes.select("fp").mapInArrow(send, "shard long, fp long, home boolean")
+    hot = materialise(routed.groupBy("shard").count().where(F.col("count") > split).select(F.col("shard").alias("_s"), F.ceil(F.col("count") / split).alias("k")), "hot")
+    none = F.lit(0).cast("long")
+    cold = routed.select("shard", none.alias("p"), none.alias("q"), "fp", F.col("home").alias("stored"), F.lit(True).alias("asked"))
+    if not hot.isEmpty():
+        # At most a SPLIT-th of the routed rows are hot shards, and few have one at all.
+        mine = routed.join(hot, F.col("shard") == F.col("_s"), "left")
+        cold = mine.where("k is null").select("shard", none.alias("p"), none.alias("q"), "fp", F.col("home").alias("stored"), F.lit(True).alias("asked"))
+        warm = mine.where("k is not null").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")))
+        other = F.explode(F.sequence(none, F.col("k") - 1)).alias("other")
+        # p: the portion whose trees are searched; q: the one whose queries are asked.
+        stored = warm.where("home").select("shard", F.col("own").alias("p"), other, "fp", F.lit(True).alias("stored")).select("shard", "p", F.col("other").alias("q"), "fp", "stored", (F.col("p") == F.col("other")).alias("asked"))
+        asked = warm.select("shard", F.col("own").alias("q"), other, "fp", "home").where("not (home and q = other)")
+        asked = asked.select("shard", F.col("other").alias("p"), "q", "fp", F.lit(False).alias("stored"), F.lit(True).alias("asked"))
+        cold = cold.unionByName(stored).unionByName(asked)
+    tidy = cold.repartition("shard", "p", "q").sortWithinPartitions("shard", "p", "q", "fp")
+    return materialise(tidy.mapInArrow(_found, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,18 +10,22 @@ and travels for all of them as one row with a hash of its whole context.
 
 Copies are folded before they are sorted: rows with the same minimizer and the
 same context hold the same suffixes, so all but the first are matched; this is
-done in every batch before the shuffle (a passage in a third of all documents
-sends one row a batch) and again behind it.  Only buckets that keep two
-different contexts are sorted: their contexts are cut from the texts, parted
-once more by 68 bytes that their suffixes share, and ordered by a deep-shallow
-sort.  Multikey quicksort, with characters of 8 bytes, orders the suffixes to
-``SHALLOW`` bytes, leaving out those that are alone; what still shares a prefix
-goes to blind tries: all suffixes of a node are compared once with its first
-leaf and branch by the length of the common prefix and the next byte.  Suffixes
-that agree with a leaf on all 100 bytes are later copies of it.
+done for every ``FOLD`` rows before the shuffle (a passage in a third of all
+documents sends one row of them) and again behind it.  Contexts are taken for
+the same when two hashes of different build, of 64 and 32 bits, agree; they are
+compared only within a bucket.  Only buckets that keep two different contexts
+are sorted: their contexts are cut from the texts, parted once more by 68 bytes
+that their suffixes share, and ordered by a deep-shallow sort.  Multikey
+quicksort, with characters of 8 bytes and all classes' partitions in one pass,
+orders the suffixes to ``SHALLOW`` bytes, leaving out those that are alone; what
+still shares a prefix goes to blind tries: all suffixes of a node are compared
+once with its first leaf and branch by the length of the common prefix and the
+next byte.  Suffixes that agree with a leaf on all 100 bytes are later copies of
+it.
 
 Buckets of over ``HOT`` rows are first sorted in salted parts; what stays first
-in its part is then compared suffix by suffix, by 128-bit keys.
+in its part is then grouped by its 100 bytes.  The lists that one document
+gathers are bounded by its own length, as is its text.
 
 Defined results: null text has no bytes; order is doc_id (null last), then
 start; rows that share a doc_id are documents of their own, ordered by text;
@@ -47,12 +51,15 @@ REACH = SPAN - 1
 #: Offsets up to which a suffix counts as right of the middle, and the bytes of either part's rows.
 MIDDLE = REACH // 2
 PART = MIDDLE + WIDTH
-#: Documents of a batch; starts of a block of a long text.
-BATCH, BLOCK = "1024", 1 << 20
+#: Rows that are folded at once; rows of a batch sent on; starts of a block of a long text.
+FOLD, SENT, BLOCK = 1 << 20, 1 << 16, 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _INDEX = np.uint64((1 << 24) - 1)
+#: Values of bytes: in order for the first hash, random ones for the second.
+_PLAIN = np.arange(256, dtype=np.uint64) + np.uint64(7)
+_RANDOM = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -74,10 +81,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hasher:
     """Hashes of any substring of a buffer, from one pass over it."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, values: np.ndarray = _PLAIN):
         p, self.inv = _power(len(buf) + 1)
         self.sum = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(7)) * p[: len(buf)], dtype=np.uint64, out=self.sum[1:])
+        np.cumsum(values[buf] * p[: len(buf)], dtype=np.uint64, out=self.sum[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sum[end] - self.sum[start]) * self.inv[start]
@@ -87,12 +94,12 @@ class Hasher:
         return (self.sum[width:] - self.sum[:n]) * self.inv[:n]
 
 
-def minimizers(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a buffer: position, first and last start served, gram hash and
-    context hash of every minimizer."""
+def minimizers(buf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a buffer: position, first and last start served, gram hash and both
+    context hashes of every minimizer."""
     none = np.zeros(0, np.int64)
     if len(buf) < WIDTH:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(np.int32)
     found = []
     for s in range(0, len(buf) - WIDTH + 1, BLOCK):
         base = max(0, s - REACH)
@@ -112,7 +119,8 @@ def minimizers(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         b = np.append(a[1:], last) - 1
         left, right = np.maximum(p - REACH, 0), np.minimum(p + WIDTH, len(sub))
         shape = ((p - left) * 1000 + (right - p)).astype(np.uint64) * np.uint64(1 << 20) + ((p - a) * 128 + (p - b)).astype(np.uint64)
-        found.append((p + base, a + base, b + base, v[p], _mix(hasher(left, right) ^ _mix(shape))))
+        again = _mix(Hasher(sub, _RANDOM)(left, right) + shape) >> np.uint64(32)
+        found.append((p + base, a + base, b + base, v[p], _mix(hasher(left, right) ^ _mix(shape)), again.astype(np.uint32).view(np.int32)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -126,14 +134,14 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-_ANCHOR = "h long, c long, doc long, p int, a int, b int"
-_NAMES = ["h", "c", "doc", "p", "a", "b"]
+_ANCHOR = "h long, c long, c2 int, doc long, p int, a int, b int"
+_NAMES = ["h", "c", "c2", "doc", "p", "a", "b"]
 
 
-def _batch(h, c, doc, p, a, b) -> pa.RecordBatch:  # noqa: ANN001
+def _batch(h, c, c2, doc, p, a, b) -> pa.RecordBatch:  # noqa: ANN001
     as_long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
     as_int = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    return pa.RecordBatch.from_arrays([as_long(h), as_long(c), as_long(doc), as_int(p), as_int(a), as_int(b)], _NAMES)
+    return pa.RecordBatch.from_arrays([as_long(h), as_long(c), as_int(c2), as_long(doc), as_int(p), as_int(a), as_int(b)], _NAMES)
 
 
 def _removed(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -148,65 +156,73 @@ def _removed(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBa
         starts.append(s)
         ends.append(e)
     d, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts, ends))
-    return _batch(_mix(d.astype(np.uint64)), np.zeros(len(d), np.int64), d.astype(np.int64), np.full(len(d), -1), s, e)
+    none = np.zeros(len(d), np.int64)
+    return _batch(_mix(d.astype(np.uint64)), none, none, d.astype(np.int64), np.full(len(d), -1), s, e)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The folded minimizers of batches of (doc, text)."""
+    """The folded minimizers of (doc, text), ``FOLD`` rows at a time."""
+
+    def folded(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, c, c2, doc, p, a, b = (np.concatenate(x) for x in zip(*parts))
+        o = np.lexsort((p, doc, c2, c, h))
+        h, c, c2, doc, p, a, b = (x[o] for x in (h, c, c2, doc, p, a, b))
+        copy = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (c2[1:] == c2[:-1])]) if len(h) else np.zeros(0, bool)
+        keep = ~copy
+        for out in (_batch(*(x[keep] for x in (h, c, c2, doc, p, a, b))), _removed(doc[copy], a[copy], b[copy] + WIDTH)):
+            for k in range(0, out.num_rows, SENT):
+                yield out.slice(k, SENT)
+
+    parts, n = [], 0
     for batch in batches:
-        parts = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            buf = np.frombuffer((text or "").encode(), np.uint8)
-            p, a, b, h, c = minimizers(buf)
-            parts.append((h, c, np.full(len(p), doc, np.int64), p, a, b))
-        if not parts:
-            continue
-        h, c, doc, p, a, b = (np.concatenate(x) for x in zip(*parts))
-        if not len(h):
-            continue
-        o = np.lexsort((p, doc, c, h))
-        h, c, doc, p, a, b = (x[o] for x in (h, c, doc, p, a, b))
-        copy = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
-        keep = ~copy
-        yield _batch(h[keep], c[keep], doc[keep], p[keep], a[keep], b[keep])
-        yield _removed(doc[copy], a[copy], b[copy] + WIDTH)
+            p, a, b, h, c, c2 = minimizers(np.frombuffer((text or "").encode(), np.uint8))
+            parts.append((h, c, c2, np.full(len(p), doc, np.int64), p, a, b))
+            n += len(p)
+            if n >= FOLD:
+                yield from folded(parts)
+                parts, n = [], 0
+    if n:
+        yield from folded(parts)
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.asarray(batch.column(k)) for k in range(6)]
+    return [np.asarray(batch.column(k)) for k in range(len(_NAMES))]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, c, doc, p): copies become removed intervals, rows
+    """Of rows sorted by (h, c, c2, doc, p): copies become removed intervals, rows
     of buckets with different contexts go on, the others are done."""
     last: list | None = None  # the pending first row of a bucket with one context so far
-    before = (None, None)
+    before = (None, None, None)
     for batch in batches:
-        h, c, doc, p, a, b = _arrays(batch)
-        done = p < 0
+        x = _arrays(batch)
+        done = x[4] < 0
         if done.any():
             yield batch.filter(pa.array(done))
-            h, c, doc, p, a, b = (x[~done] for x in (h, c, doc, p, a, b))
+            x = [v[~done] for v in x]
+        h, c, c2, doc, p, a, b = x
         if not len(h):
             continue
-        same_h = np.concatenate([[h[0] == before[0]], h[1:] == h[:-1]])
-        copy = same_h & np.concatenate([[c[0] == before[1]], c[1:] == c[:-1]])
+        copy = np.ones(len(h), bool)
+        for v, old in zip((h, c, c2), before):
+            copy &= np.concatenate([[v[0] == old], v[1:] == v[:-1]])
         yield _removed(doc[copy].astype(np.int64), a[copy].astype(np.int64), b[copy].astype(np.int64) + WIDTH)
         keep = np.flatnonzero(~copy)
-        before = (h[-1], c[-1])
+        before = (h[-1], c[-1], c2[-1])
         if not len(keep):
             continue
-        h, c, doc, p, a, b = (x[keep] for x in (h, c, doc, p, a, b))
+        h, c, c2, doc, p, a, b = (v[keep] for v in x)
         same = np.concatenate([[last is not None and h[0] == last[0]], h[1:] == h[:-1]])
         follows = np.append(same[1:], False)
         go = same | follows
-        if same[0] and last[6]:  # the pending row has met another context
-            yield _batch(*[np.array([x]) for x in last[:6]])
+        if same[0] and last[-1]:  # the pending row has met another context
+            yield _batch(*[np.array([v]) for v in last[:-1]])
         # The batch's last row stays pending when it is the first of its bucket.
         pending = not same[-1]
         go[-1] = same[-1]
-        yield _batch(h[go], c[go], doc[go], p[go], a[go], b[go])
-        last = [h[-1], c[-1], doc[-1], p[-1], a[-1], b[-1], pending]
+        yield _batch(h[go], c[go], c2[go], doc[go], p[go], a[go], b[go])
+        last = [h[-1], c[-1], c2[-1], doc[-1], p[-1], a[-1], b[-1], pending]
 
 
 _CONTEXT = "key long, key2 long, doc long, p int, lo int, hi int, left int, bytes binary"
@@ -246,6 +262,46 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def multikey(flat: np.ndarray, start: np.ndarray, left: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings (indices into ``start``, by class) that share ``SHALLOW`` bytes with
+    another of their class, and their new classes.
+
+    Every pass parts all classes by a pivot of their own into strings with a
+    less, an equal and a greater word of 8 bytes at the class's depth, keeping
+    the order within each; the equal ones go 8 bytes deeper.
+    """
+    words = np.ndarray((len(flat) - 7,), ">u8", flat, strides=(1,))
+    depth, deep = np.zeros(len(left), np.int64), []
+    new = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, bool)
+    while len(left):
+        go = ~(new & np.append(new[1:], True))  # those that are alone are done
+        done = go & (depth >= SHALLOW)
+        deep.append((left[done], new[done]))
+        go &= ~done
+        left, depth, new = left[go], depth[go], new[go]
+        if not len(left):
+            break
+        first = np.flatnonzero(new)
+        idx, sizes = np.cumsum(new) - 1, np.diff(np.append(first, len(left)))
+        w = words[start[left] + depth].astype(np.uint64)
+        pivot = np.sort(np.stack([w[first], w[first + sizes // 2], w[first + sizes - 1]]), axis=0)[1][idx]
+        side = (w >= pivot).astype(np.int64) + (w > pivot)
+        at, before = np.zeros(len(left), np.int64), first.copy()
+        starts = np.zeros(len(left), bool)
+        for k in range(3):
+            mine = side == k
+            run = np.cumsum(mine)
+            rank = run - (run[first] - mine[first])[idx] - 1
+            at[mine] = (before[idx] + rank)[mine]
+            starts[at[mine & (rank == 0)]] = True
+            before += np.add.reduceat(mine.astype(np.int64), first)
+        moved, deeper = np.empty_like(left), np.empty_like(depth)
+        moved[at], deeper[at] = left, depth + 8 * (side == 1)
+        left, depth, new = moved, deeper, starts
+    left, new = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*deep)) if deep else (left, new)
+    return left, np.cumsum(new)
+
+
 def deep_shallow(flat: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Which of the 100-byte strings ``flat[start:start+100]`` of a bucket equal an
     earlier one (in the order given) of that bucket.
@@ -253,19 +309,8 @@ def deep_shallow(flat: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> np.
     flat has 8 bytes or more behind the last string.
     """
     later = np.zeros(len(start), bool)
-    words = np.ndarray((len(flat) - 7,), ">u8", flat, strides=(1,))
     left = np.argsort(bucket, kind="stable")
-    cls = bucket[left]
-    for depth in range(0, SHALLOW, 8):  # multikey quicksort, a word of 8 bytes as a character
-        new = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, bool)
-        alone = new & np.append(new[1:], True) if len(cls) else new
-        left, cls = left[~alone], cls[~alone]
-        if not len(left):
-            return later
-        w = words[start[left] + depth].astype(np.uint64)
-        o = np.lexsort((w, cls))
-        left, w, cls = left[o], w[o], cls[o]
-        cls = np.cumsum(np.concatenate([[0], (cls[1:] != cls[:-1]) | (w[1:] != w[:-1])]))
+    left, cls = multikey(flat, start, left, bucket[left])
     rest = WIDTH - SHALLOW
     bytes_ = np.ndarray((len(flat) - rest + 1, rest), np.uint8, flat, strides=(1, 1))
     while len(left):  # blind tries: each node's members against its first leaf
@@ -353,24 +398,23 @@ def _order(batches: Iterator[pa.RecordBatch], salted: bool) -> Iterator[pa.Recor
         if salted:
             first = np.flatnonzero(~later)
             raw = flat.tobytes()
-            dig = [hashlib.blake2b(raw[x : x + WIDTH], digest_size=16).digest() for x in start[first].tolist()]
-            yield _found(doc[row[first]], p[row[first]] - off[first], dig)
+            yield _found(doc[row[first]], p[row[first]] - off[first], [raw[x : x + WIDTH] for x in start[first].tolist()])
 
 
-def _found(doc: np.ndarray, s: np.ndarray, dig: list[bytes] | None) -> pa.RecordBatch:
-    if dig is None:  # runs of starts become one interval
+def _found(doc: np.ndarray, s: np.ndarray, string: list[bytes] | None) -> pa.RecordBatch:
+    if string is None:  # runs of starts become one interval
         o = np.lexsort((s, doc))
         doc, s = doc[o], s[o]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + WIDTH)]) if len(s) else np.zeros(0, bool)
         cut = np.flatnonzero(new)
         ends = s[np.append(cut[1:] - 1, len(s) - 1)] + WIDTH if len(s) else s
-        doc, s, e, dig = doc[cut], s[cut], ends, [None] * len(cut)
+        doc, s, e, string = doc[cut], s[cut], ends, [None] * len(cut)
     else:
         e = s + WIDTH
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(dig, pa.binary())], ["doc", "a", "b", "dig"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(string, pa.binary())], ["doc", "a", "b", "string"])
 
 
-_FOUND = "doc long, a long, b long, dig binary"
+_FOUND = "doc long, a long, b long, string binary"
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -387,19 +431,16 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removals(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc, a, b)``: byte intervals of ``rows`` (rid, text) to remove."""
     spark = rows.sparkSession
-    small_batches(spark, BATCH)
+    small_batches(spark)
     sent = rows.select("rid", "text").mapInArrow(_anchors, _ANCHOR)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    folded = sent.repartition("h").sortWithinPartitions("h", "c", "doc", "p").mapInArrow(_fold, _ANCHOR)
+    folded = sent.repartition("h").sortWithinPartitions("h", "c", "c2", "doc", "p").mapInArrow(_fold, _ANCHOR)
     folded = materialise(folded, "folded")
     removed = folded.where("p < 0").select("doc", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     open_ = folded.where("p >= 0").groupBy("doc").agg(F.collect_list(F.struct("h", "p", "a", "b")).alias("open"))
-    small_batches(spark)
     joined = rows.join(open_.hint("shuffle_hash"), rows["rid"] == open_["doc"]).select("doc", "text", "open")
     ctx = materialise(joined.mapInArrow(_contexts, _CONTEXT), "contexts")
     big = ctx.groupBy("key", "key2").count().where(F.col("count") > hot)
     big = big.select("key", "key2", F.ceil(F.col("count") * 2 / hot).alias("parts"))
-    small_batches(spark, "8192")
     n_big = big.count()
     cold = ctx if not n_big else ctx.join(big, ["key", "key2"], "left_anti")
     cold = cold.withColumn("salt", F.lit(0).cast("long"))
@@ -410,10 +451,10 @@ def removals(rows: DataFrame, hot: int = HOT) -> DataFrame:
     if n_big:
         warm = ctx.join(big, ["key", "key2"]).withColumn("salt", F.pmod(F.xxhash64("doc"), "parts")).drop("parts")
         warm = materialise(tidy(warm).mapInArrow(lambda x: _order(x, True), _FOUND), "salted")
-        out = out.unionByName(warm.where("dig is null").select("doc", "a", "b"))
-        first = warm.where("dig is not null")
-        least = first.groupBy("dig").agg(F.min(F.struct("doc", "a")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        again = first.join(least, "dig").where("doc <> m.doc or a <> m.a")
+        out = out.unionByName(warm.where("string is null").select("doc", "a", "b"))
+        first = warm.where("string is not null")
+        least = first.groupBy("string").agg(F.min(F.struct("doc", "a")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = first.join(least, "string").where("doc <> m.doc or a <> m.a")
         out = out.unionByName(again.select("doc", "a", "b"))
     return materialise(out, "removed")
 

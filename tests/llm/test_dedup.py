@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -128,11 +129,11 @@ def clustered(n, seed):
     return list(dict.fromkeys(out))[:n]
 
 
-@pytest.mark.parametrize("bits", [1, 2, 3])
-def test_links_by_tree_are_all_links(spark, bits):
+@pytest.mark.parametrize("bits, split", [(1, H.SPLIT), (2, H.SPLIT), (3, H.SPLIT), (3, 8), (2, 40)])
+def test_links_by_tree_are_all_links(spark, bits, split):
     fps = clustered(700, bits)
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in components(H.links(df, bits), "a", "b").collect()}
+    roots = {r["node"]: r["root"] for r in components(H.links(df, bits, split), "a", "b").collect()}
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     want = component_brute([(s, f) for s, f in zip(signed, fps)])
     assert [roots.get(s, s) for s in signed] == want
@@ -146,7 +147,17 @@ def test_tree_search_is_exact(leaf):
     f = H.Forest(len(fps))
     H.search(fps, np.arange(len(fps)), np.arange(len(fps)), f, leaf=leaf)
     want = component_brute([(i, int(x)) for i, x in enumerate(fps)])
-    assert [f.find(i) for i in range(len(fps))] == want
+    assert f.roots(np.arange(len(fps))).tolist() == want
+
+
+def test_dense_template_is_linked_fast():
+    rng = np.random.default_rng(3)
+    fps = np.zeros(30_000, np.uint64)
+    for _ in range(5):  # up to five of 64 bits differ from the template
+        fps ^= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+    fps, began = np.unique(fps), time.process_time()
+    a, b = H.shard_links(fps, np.ones(len(fps), bool), np.ones(len(fps), bool))
+    assert time.process_time() - began < 60 and (np.bitwise_count(fps[0] ^ fps) <= 4).sum() <= len(a) + 1
 
 
 def test_simhash_empty(spark):

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from geostrata.llm import bpe, html_text, pii, quality, token_counts, toxicity
+from geostrata.llm import bpe, html_labels, html_text, pii, quality, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -309,6 +310,37 @@ def test_pii_bootstrap_hops(spark):
     assert set(a + b[:2]) <= got == held and not got & set(e)
 
 
+def test_pii_instances_carry_over_to_other_patterns(spark):
+    word = [hashlib.md5(str(k).encode()).hexdigest() for k in range(22)]
+    rows = [f'so token = "{w}" here' for w in word[:20]] + [f"the badge code {w} there" for w in word]
+    got = Counter(x["v"] for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() for x in r["id"])
+    assert all(got[w] == 2 for w in word[:20]) and all(got[w] == 1 for w in word[20:])
+
+
+def test_pii_of_a_very_long_text(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" if k % 3 else f"é{k}@x.y {k}" for k in rng.integers(0, 99999, 200_000)]
+    text = "  ".join(words)
+    began = time.time()
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert time.time() - began < 120
+    assert [(x["s"], x["e"]) for x in got["email"]] == [m.span() for m in BASE[0][1].finditer(text)]
+
+
+@pytest.mark.parametrize("text", TRICKY + ["see a@b.c, (a@b.c) x1 +1 (555) 010-9999 4111 1111 1111 1111 1.2.3.4 z9", "\n 1 \t22  x3", "\u0001 \u00011"])
+def test_pii_candidates(spark, text):
+    rows = pii.base(spark.createDataFrame([(1, text)], "doc_id long, text string")).withColumn("row", pii.F.lit(0))
+    got = {(r["s"], r["e"], r["inst"], r["covered"]) for r in pii.candidates(rows).collect()}
+    spans = [tuple(map(int, x.split(":")[1:])) for x in base_brute(text)]
+    want = set()
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", m[0])
+        if re.search("[0-9]", bare):
+            s = m.start() + len(re.match(r"[\W_]*", m[0])[0])
+            want.add((s, s + len(bare), bare, any(a < m.end() and m.start() < b for a, b in spans)))
+    assert got == want
+
+
 def test_pii_empty(spark):
     assert pii.find(none(spark)).count() == 0
 
@@ -334,5 +366,62 @@ def test_html_rows(spark):
 
 
 def test_best_run_is_the_best_run():
+    rng = np.random.default_rng(8)
+    for n in range(1, 40):
+        scores = rng.integers(-3, 4, n).astype(float).tolist()
+        sums = {(a, b): sum(scores[a:b]) for a in range(n) for b in range(a + 1, n + 1)}
+        most = max(0, *sums.values())
+        a, b = html_text.best_run(scores)
+        assert sum(scores[a:b]) == most and ((a, b) == (0, 0)) == (most == 0)
+        assert most == 0 or not any(v == most and y < b for (_, y), v in sums.items())  # the first of equal ones
+
+
+def test_weights_are_of_the_labels():
     w = html_text.weights()
-    assert w["w", "main", False] > 0 and all(w["t", c, k] <= 0 for c in ("main", "body", "nav") for k in (False, True)) and w["w", "nav", False] < 0
+    assert all(v < 0 for k, v in w.items() if k[0] == "t" and k[1] in ("main", "free", "beside"))
+    assert all(v > 0 for k, v in w.items() if k[:2] == ("w", "main")) and w["w", "free", False, 2] > 0 > w["w", "free", True, 1]
+
+
+def test_unseen_labelled_pages():
+    exact, right, n = 0, 0, 0
+    for seed in range(5000, 5200):
+        page = html_labels.page(seed)
+        text = re.sub('<div class="ad(vert)?">.*?</div>', " ", page.split(html_labels.MARK)[1])
+        want, got = re.sub("<[^>]*>", " ", text).split(), html_text.extract(page.replace(html_labels.MARK, "")).split()
+        exact += want == got
+        right += sum((Counter(want) & Counter(got)).values())
+        n += max(len(want), len(got))
+    assert exact > 160 and right > 0.96 * n
+
+
+TWO = "<p>The first ordinary paragraph of this page has several words in it.</p><p>And the second one has some more of them, too.</p>"
+PLAIN = "The first ordinary paragraph of this page has several words in it.\nAnd the second one has some more of them, too."
+
+
+@pytest.mark.parametrize("name", ["site-content", "content has-sidebar", "entry tags", "post social", "story banner", "layout-side-by-side", "ad-free content"])
+def test_class_names_empty_no_page(name):
+    page = f'<html><body><nav><a href="1">Home</a> <a href="2">News</a></nav><div class="{name}">{TWO}</div><footer>Copyright us</footer></body></html>'
+    assert html_text.extract(page) == PLAIN
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<nav><a>x</a></nav><div class="site-content"><article class="post">{TWO}</article></div><footer>c</footer>', PLAIN),
+        (f'<div class="post">x y</div><div>{TWO * 3}</div>', "\n".join([PLAIN] * 3)),
+        (f"<html><head><title>unclosed <body>{TWO}", PLAIN),
+        ("<article><p>a <math><mi>x</mi></math> <object>obj</object> b</p></article>", "a x obj b"),
+        (f'<form id="aspnetForm"><div class="menu"><a>x</a></div><h1>Head</h1>{TWO}<div id="comments">{TWO}</div></form>', "Head\n" + PLAIN),
+        (f'<nav><a>open menu<article>{TWO}</article><div class="comments"><article>{TWO}</article></div>', PLAIN),
+        ('<article><header><h1>T</h1></header><p>a</p><aside>no</aside><div class="cookie-bar">no</div><p>b</p><footer>no</footer></article>', "T\na\nb"),
+    ],
+)
+def test_html_cases(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_html_is_linear():
+    began = time.process_time()
+    for page in ("<div>" * 60_000 + "deep words" + "</div>" * 60_000, "<b>" * 60_000 + "</i>" * 60_000, "<title>" * 60_000, "<" * 60_000, '<a href="' * 60_000, "<p>word " * 60_000):
+        html_text.extract(page)
+    assert time.process_time() - began < 60

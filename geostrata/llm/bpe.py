@@ -4,8 +4,9 @@ Two adjacent bytes that no vocabulary token holds next to each other can never
 be merged over, so every such place inside a pre-token is a certain cut: the
 fragments between cuts are encoded on their own and their ids concatenated.
 Only a pre-token's last fragment carries the word end.  Fragments, and the
-white-space-separated words made of them, are kept in bounded dictionaries, so
-each is encoded once per worker as long as it stays there.
+white-space-separated words made of them, are kept in dictionaries bounded in
+entries and in their length, so each is encoded once per worker as long as it
+stays there.
 
 Words in characters up to U+024F take this way; others (where normalisation
 may compose or reorder) and those that hold a special string go to the library
@@ -34,6 +35,9 @@ from .common import load, small_batches, worker_state
 #: Entries of a generation of a worker's dictionaries.  When one is full, it is
 #: kept as the older generation, from which words in use are taken over.
 WORDS, FRAGMENTS = 200_000, 150_000
+#: Characters of a word or fragment that is kept; longer ones are encoded each time,
+#: so that a dictionary's bytes are bounded too.
+LONG = 128
 _PLAIN = re.compile("[\x00-ɏ]*")
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -143,6 +147,10 @@ class Codec:
             held[w] = a
         for w, parts in cut:
             held[w] = b"".join([x for p in parts for x in [*(mid[f] for f in p[:-1]), last[p[-1]]]])
+        for held, new in ((mid, need[0]), (last, need[1])):
+            for f in new:
+                if len(f) > LONG:
+                    del held[f]
 
     def _bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.raw[i] for i in ids])
@@ -165,6 +173,9 @@ class Codec:
                     self.learn([w for w in dict.fromkeys(words) if w not in self.word], False)
                 held = self.word
             ids = b"".join([held[w] for w in words])
+            for w in new:
+                if len(w) > LONG:
+                    held.pop(w, None)
             out.append((ids, self.decode(ids)))
         return out
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load, materialise
+from .common import WORD, attach, load, materialise
 
 #: Documents of one bucket of the reduction tree.
 FAN = 32
@@ -101,12 +101,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = materialise(sized(docs, id_col, text_col, source_col), "sizes")
     stats = materialise(targets(base), "sources")
     few, largest = stats.agg(F.count(F.lit(1)), F.max("n")).first()
-    side = F.broadcast(stats) if few <= BROADCAST_SOURCES else stats
-    side = side.select(F.col("source").alias("_s"), "source_size", "target", "n")
     # Rows that agree in id, source and size are told apart by a number.
     rows = base.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
     rows = rows.select("id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("dup"))
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left")
+    if few <= BROADCAST_SOURCES:
+        side = F.broadcast(stats.select(F.col("source").alias("_s"), "source_size", "target", "n"))
+        rows = rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left")
+    else:  # hot sources still meet their figures by broadcast, and only the others in a shuffle
+        key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_k")
+        side = stats.select(key, "source_size", "target", "n")
+        rows = attach(rows.select("*", key), side, "_k", "n", base.count(), ["source_size", "target", "n"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     h = F.xxhash64(F.lit("mix"), "id", "dup", "size")
     rows = rows.select(

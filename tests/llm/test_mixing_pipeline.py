@@ -59,6 +59,14 @@ def test_many(spark, seed):
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))  # reruns agree
 
 
+def test_many_sources(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7), None if i % 50 == 0 else "hot" if i % 2 else f"s{i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = check(df)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert Counter(map(tuple, check(df))) == Counter(map(tuple, a))
+
+
 def test_expected_words_are_kept(spark):
     rows = [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(400)]
     got = check(spark.createDataFrame(rows, "doc_id long, text string, source string"))

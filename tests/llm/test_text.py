@@ -61,6 +61,14 @@ def test_bpe_small_dictionaries():
         assert np.frombuffer(ids, "<u4").tolist() == e and text == c.library.decode(e, skip_special_tokens=False)
 
 
+def test_bpe_keeps_no_long_words():
+    c = bpe.Codec(bpe.default_path())
+    texts = ["a" * 5000 + " b " + "ñx§" * 900 + " b " + "漢" * 300, "a" * 5000 + " " + "é." * 200]
+    for t, (ids, _) in zip(texts, c(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == c.library.encode(t, add_special_tokens=False).ids
+    assert max(map(len, [*c.word, *c.frag[0], *c.frag[1]])) <= bpe.LONG
+
+
 def test_bpe_decodes_given_ids():
     c = bpe.Codec(bpe.default_path())
     rng = np.random.default_rng(3)

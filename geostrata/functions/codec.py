@@ -356,63 +356,70 @@ def records(buf: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[b
 
 
 def _arrow(fn: Callable, n: int, out: DataType) -> Callable[..., Column]:
-    """An Arrow function over ``n`` columns, row by row inside the batch."""
+    """An Arrow function over ``n`` columns, batch by batch."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(out)
 
     def one(a):  # noqa: ANN001, ANN202
-        return pa.array([fn(x) for x in a.to_pylist()], kind)
+        return fn(a)
 
     def five(a, b, c, d, e):  # noqa: ANN001, ANN202
-        return pa.array([fn(*r) for r in zip(*(x.to_pylist() for x in (a, b, c, d, e)))], kind)
+        return fn(a, b, c, d, e)
 
     run = one if n == 1 else five
     run.__annotations__ = dict.fromkeys("abcde"[:n], pa.Array) | {"return": pa.Array}
     return F.arrow_udf(run, out)
 
 
+def _each(fn: Callable, out: DataType) -> Callable[..., Column]:
+    """An Arrow function of one column, value by value; null stays null."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(out)
+    return _arrow(lambda a: pa.array([None if x is None else fn(x) for x in a.to_pylist()], kind), 1, out)
+
+
 def encode_feature(*columns: Column | str) -> Column:
     """The payload of feature columns (``FEATURE`` order, bbox left out)."""
     from pyspark.sql.types import BinaryType
 
-    cols = columns or ("id", "properties", "geom_type", "dims", "coords")
-    one = lambda i, p, g, d, c: encode({"id": i, "properties": p, "geom_type": g, "dims": d, "coords": c})
-    return _arrow(one, 5, BinaryType())(*cols)
+    from . import batch
 
-
-def _listed(row: dict) -> dict:
-    return row | {"properties": sorted(row["properties"].items())}
+    return _arrow(batch.encode_all, 5, BinaryType())(*(columns or ("id", "properties", "geom_type", "dims", "coords")))
 
 
 def decode_feature(payload: Column | str, sint_zigzag: bool = False) -> Column:
     """The feature struct of a payload."""
-    return _arrow(lambda p: None if p is None else _listed(decode(p, sint_zigzag)), 1, FEATURE)(payload)
+    from . import batch
+
+    return _arrow(lambda a: batch.with_nulls(batch.features(*batch.of_column(a), sint_zigzag), a), 1, FEATURE)(payload)
 
 
 def payload_keys(payload: Column | str) -> Column:
     from pyspark.sql.types import ArrayType, StringType
 
-    return _arrow(lambda p: None if p is None else read_keys(p), 1, ArrayType(StringType()))(payload)
+    return _each(read_keys, ArrayType(StringType()))(payload)
 
 
 def payload_bbox(payload: Column | str) -> Column:
     from ..schema import BBOX
+    from . import batch
 
-    return _arrow(lambda p: None if p is None else read_bbox(p), 1, BBOX)(payload)
+    return _arrow(lambda a: batch.with_nulls(batch.decode_all(*batch.of_column(a), ["bbox"])["bbox"], a), 1, BBOX)(payload)
 
 
 def payload_property(payload: Column | str, key: str) -> Column:
     from ..schema import VALUE
 
-    return _arrow(lambda p: None if p is None else read_one(p, key), 1, VALUE)(payload)
+    return _each(lambda p: read_one(p, key), VALUE)(payload)
 
 
 def encode_frame(payload: Column | str) -> Column:
     from pyspark.sql.types import BinaryType
 
-    return _arrow(lambda p: None if p is None else frame(p), 1, BinaryType())(payload)
+    from . import batch
+
+    return _arrow(batch.framed, 1, BinaryType())(payload)
 
 
 def decode_stream(buf: Column | str) -> Column:
@@ -420,5 +427,4 @@ def decode_stream(buf: Column | str) -> Column:
     from pyspark.sql import types as T
 
     kind = T.ArrayType(T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    one = lambda b: None if b is None else [{"payload": p, "start": s, "end": e} for p, s, e in records(b)]
-    return _arrow(one, 1, kind)(buf)
+    return _each(lambda b: [{"payload": p, "start": s, "end": e} for p, s, e in records(b)], kind)(buf)

@@ -1,8 +1,9 @@
 """The packed feature stream as a Spark data source, ``packedfeature``.
 
 Read options: ``mode`` (``feature`` or ``raw``), ``positions``, ``columns`` (the
-feature columns to decode), ``key`` and ``bounds`` (``w,s,e,n``; both prune by
-the index), ``from_pos``, ``sint_zigzag``.  A file is split along its index; one
+feature columns to decode; the others are skipped), ``key`` and ``bounds``
+(``w,s,e,n``; both prune by the index), ``from_pos``, ``ranges`` (JSON of file
+name or null, start and end: single payloads, read by seeking), ``sint_zigzag``.  A file is split along its index; one
 without an index is one partition, as its records carry no sync marker.
 
 A write makes one file per task, with an index beside it (``<file>.index``): a
@@ -17,12 +18,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..functions import codec
-from ..schema import FEATURE, POSITIONS, RAW
+from ..functions import batch, codec
+from ..schema import FEATURE, FEATURE_COLUMNS, POSITIONS, RAW
 
 RANGE_BYTES = 64 << 20
 BATCH = 4096
@@ -66,11 +68,13 @@ def is_metadata(row: dict) -> bool:
 
 @dataclass
 class Range(InputPartition):
-    """A byte range of a file that begins and ends at records."""
+    """A byte range of a file that begins and ends at records, or single records'
+    positions in it."""
 
     file: str
     start: int
     end: int | None
+    at: tuple[tuple[int, int], ...] | None = None
 
 
 class PackedReader(DataSourceReader):
@@ -84,6 +88,8 @@ class PackedReader(DataSourceReader):
         want = [float(v) for v in box.split(",")] if box else None
         first = int(self.options.get("from_pos", 0))
         out = []
+        if self.options.get("ranges"):
+            return self._single(json.loads(self.options["ranges"]))
         for file in list_files(self.path):
             index = read_index(self.path, file)
             if index is None:
@@ -97,6 +103,16 @@ class PackedReader(DataSourceReader):
                 out.append(Range(file, max(r["start"], first), r["end"]))
         return out or [Range("", 0, 0)]
 
+    def _single(self, ranges: list) -> list[Range]:
+        """Positions as partitions of up to ``BATCH`` records: nothing else is read."""
+        by_file: dict[str, list[tuple[int, int]]] = {}
+        files = list_files(self.path)
+        for name, a, z in ranges:
+            for file in files if name is None else [f for f in files if f.endswith(name)]:
+                by_file.setdefault(file, []).append((int(a), int(z)))
+        out = [Range(f, 0, 0, tuple(sorted(at)[k : k + BATCH])) for f, at in by_file.items() for k in range(0, len(at), BATCH)]
+        return out or [Range("", 0, 0)]
+
     def read(self, partition: Range) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,33 +121,42 @@ class PackedReader(DataSourceReader):
             return
         system, _ = file_system(self.path)
         with system.open_input_file(partition.file) as f:
-            f.seek(partition.start)
-            buf = f.read() if partition.end is None else f.read(partition.end - partition.start)
-        kind, names = to_arrow_schema(self.out), {x.name for x in self.out}
+            if partition.at is None:
+                end = f.size() if partition.end is None else partition.end
+                f.seek(partition.start)
+                pieces = [(partition.start, f.read(end - partition.start))]
+            else:  # single records, by their positions
+                pieces = [(a, f.read_at(z - a, a)) for a, z in partition.at]
+        kind, names = to_arrow_schema(self.out), [x.name for x in self.out]
         box = self.options.get("bounds")
         want = [float(v) for v in box.split(",")] if box else None
-        zz, rows = self.options.get("sint_zigzag", "false").lower() == "true", []
-        for k, (payload, start, end) in enumerate(codec.records(buf)):
-            at = {"_pos_start": partition.start + start, "_pos_end": partition.start + end}
-            if partition.start + k == 0 and codec.read_keys(payload) == ["metadata"]:
-                continue
+        zz = self.options.get("sint_zigzag", "false").lower() == "true"
+        if partition.at is None:
+            base, buf = pieces[0]
+            start, end = batch.offsets(buf)
+            if len(start) and base == 0 and codec.read_keys(buf[start[0] : end[0]]) == ["metadata"]:
+                start, end = start[1:], end[1:]
+            shift = np.full(len(start), base)
+        else:
+            size = np.array([len(b) for _, b in pieces], np.int64)
+            buf, end = b"".join(b for _, b in pieces), np.cumsum(size)
+            start = end - size
+            shift = np.array([a for a, _ in pieces], np.int64) - start
+        for k in range(0, len(start), BATCH):
+            a, z, base = start[k : k + BATCH], end[k : k + BATCH], shift[k : k + BATCH]
             if want:  # bounds alone decide, before anything else is decoded
-                b = codec.read_bbox(payload)
-                if b and not (b["e"] >= want[0] and want[2] >= b["w"] and b["n"] >= want[1] and want[3] >= b["s"]):
-                    continue
-            if self.raw:
-                row = {"payload": payload} | at
-            elif names <= {"bbox", *at} and "bbox" in names:
-                row = {"bbox": codec.read_bbox(payload)} | at
-            else:
-                row = codec.decode(payload, zz) | at
-                row["properties"] = sorted(row["properties"].items())
-            rows.append({n: row.get(n) for n in names})
-            if len(rows) >= BATCH:
-                yield pa.RecordBatch.from_pylist(rows, kind)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, kind)
+                b = batch.decode_all(buf, a, z, ["bbox"])["bbox"]
+                w, s, e, n = (np.asarray(x.fill_null(np.nan)) for x in b.flatten())
+                keep = ~((e < want[0]) | (want[2] < w) | (n < want[1]) | (want[3] < s)) | ~np.asarray(b.is_valid())
+                a, z, base = a[keep], z[keep], base[keep]
+            got = {"_pos_start": pa.array(base + a), "_pos_end": pa.array(base + z)}
+            if self.raw and "payload" in names:
+                got["payload"] = batch._to_binary(batch._slices(np.frombuffer(buf, np.uint8), a, z - a), z - a, pa.binary())
+            elif columns := [c for c in names if c in FEATURE_COLUMNS]:
+                lo, hi = (int(a[0]), int(z[-1])) if len(a) and partition.at is None else (0, len(buf))
+                got |= batch.decode_all(memoryview(buf)[lo:hi], a - lo, z - lo, columns, zz)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([got[c].cast(kind.field(c).type) for c in names], schema=kind)
 
 
 @dataclass
@@ -146,16 +171,40 @@ class PackedWriter(DataSourceArrowWriter):
         self.path, self.names, self.overwrite = options["path"], schema.names, overwrite
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
-    def _records(self, batches: Iterator) -> Iterator[tuple[str | None, bytes]]:
-        for b in batches:
-            for row in b.to_pylist():
-                key = row.get("key")
-                if "frame" in row:
-                    yield key, bytes(row["frame"])
-                elif "payload" in row:
-                    yield key, codec.frame(bytes(row["payload"]))
-                else:
-                    yield key, codec.frame(codec.encode(row | {"properties": dict(row.get("properties") or [])}))
+    def _framed(self, b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+        """A batch's records: bytes, sizes, bounds (w, s, e, n) and which have any."""
+        import pyarrow as pa
+
+        names = b.schema.names
+        if "frame" in names:
+            buf, at, size = batch._binary(b.column(names.index("frame")))
+            out, whole = batch._slices(buf, at, size), size
+            start, end = batch.offsets(out.tobytes())
+            box = batch.decode_all(out.tobytes(), start, end, ["bbox"])["bbox"]
+            if len(start) != len(whole):  # several records, or none, in a row
+                whole = np.diff(np.concatenate([[0], end]))
+        else:
+            if "payload" in names:
+                payload = b.column(names.index("payload"))
+                box = None
+            else:
+                columns = [b.column(names.index(c)) if c in names else pa.nulls(b.num_rows, batch._KINDS[c]) for c in ("id", "properties", "geom_type", "dims", "coords")]
+                columns = [x.cast(batch._KINDS[c]) for x, c in zip(columns, ("id", "properties", "geom_type", "dims", "coords"))]
+                try:
+                    data, size, units, full = batch.encode(*columns)
+                    out, whole = batch.frames(data, np.cumsum(size) - size, size)
+                    return out, whole, units / codec.POWER, full
+                except (batch.Unusual, IndexError):
+                    payload, box = batch.encode_all(*columns), None
+            if payload.null_count:
+                raise ValueError("a payload is null")
+            buf, at, size = batch._binary(payload)
+            out, whole = batch.frames(buf, at, size)
+            if box is None:
+                box = batch.decode_all(buf.tobytes(), at, at + size, ["bbox"])["bbox"]
+        full = np.asarray(box.is_valid())
+        bounds = np.stack([np.asarray(x.fill_null(0.0)) for x in box.flatten()], axis=1) if len(box) else np.zeros((0, 4))
+        return out, whole, bounds, full
 
     def write(self, iterator: Iterator) -> Written:
         system, root = file_system(self.path)
@@ -163,18 +212,33 @@ class PackedWriter(DataSourceArrowWriter):
         name = f"{root}/_{uuid.uuid4().hex}{SUFFIX}"
         at, index, now = 0, [], None
         with system.open_output_stream(name) as f:
-            for key, record in self._records(iterator):
-                if now is None or key != now["key"] or at - now["start"] >= self.range_bytes:
-                    now = {"key": key, "start": at, "end": at, "count": 0, "w": None, "s": None, "e": None, "n": None}
-                    index.append(now)
-                f.write(record)
-                at += len(record)
-                now["end"], now["count"] = at, now["count"] + 1
-                for payload, _, _ in codec.records(record):
-                    b = codec.read_bbox(payload)
-                    if b:
-                        for k, fn in (("w", min), ("s", min), ("e", max), ("n", max)):
-                            now[k] = b[k] if now[k] is None else fn(now[k], b[k])
+            for b in iterator:
+                if not b.num_rows:
+                    continue
+                out, whole, bounds, full = self._framed(b)
+                f.write(out.tobytes())
+                keys = b.column(b.schema.names.index("key")).to_pylist() if "key" in b.schema.names else None
+                if keys and len(keys) != len(whole):
+                    raise ValueError("a row with a key must hold one record")
+                stop = np.cumsum(whole) + at
+                change = np.flatnonzero([x != y for x, y in zip(keys, keys[1:])]) + 1 if keys else np.zeros(0, np.int64)
+                k, n = 0, len(whole)
+                while k < n:  # a range a turn: to the next key, or until the range is full
+                    key = keys[k] if keys else None
+                    if now is None or key != now["key"] or at - now["start"] >= self.range_bytes:
+                        now = {"key": key, "start": at, "end": at, "count": 0, "w": None, "s": None, "e": None, "n": None}
+                        index.append(now)
+                    cut = np.searchsorted(change, k, "right")
+                    until = int(change[cut]) if cut < len(change) else n
+                    until = min(until, int(np.searchsorted(stop, now["start"] + self.range_bytes)) + 1)
+                    until = max(until, k + 1)
+                    at = int(stop[until - 1])
+                    now["end"], now["count"] = at, now["count"] + until - k
+                    box = bounds[k:until][full[k:until]]
+                    if len(box):
+                        for name_, fn, v in (("w", min, box[:, 0].min()), ("s", min, box[:, 1].min()), ("e", max, box[:, 2].max()), ("n", max, box[:, 3].max())):
+                            now[name_] = float(v) if now[name_] is None else fn(now[name_], float(v))
+                    k = until
         if not at:
             system.delete_file(name)
             return Written(None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions import codec
 from ..sources.packed import list_files, read_index, register
 from ..schema import INDEX
 
+#: Positions that are looked up by seeking.
+SEEKS = 20_000
+
 
 def scan(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """The features of a packed file or folder (see the source's options)."""
@@ -44,7 +49,28 @@ def seek(spark: SparkSession, path: str, pos: int, **options: object) -> DataFra
 
 def read_ranges(raw: DataFrame, ranges: DataFrame) -> DataFrame:
     """Records at given positions (``_pos_start``, ``_pos_end``)."""
-    return raw.join(ranges.select("_pos_start", "_pos_end"), ["_pos_start", "_pos_end"], "left_semi")
+    return raw.join(ranges.select("_pos_start", "_pos_end").distinct(), ["_pos_start", "_pos_end"], "left_semi")
+
+
+def look_up(spark: SparkSession, path: str, ranges: DataFrame, **options: object) -> DataFrame:
+    """Records at given positions (``_pos_start``, ``_pos_end`` of their payload, and
+    ``file``, if there is such a column: the end of a file's path).
+
+    Up to ``SEEKS`` positions are read by seeking to them, and nothing else is
+    read; beyond that the folder is scanned and joined.
+    """
+    columns = [F.col("file") if "file" in ranges.columns else F.lit(None).cast("string").alias("file"), "_pos_start", "_pos_end"]
+    wanted = ranges.select(*columns).distinct()
+    few = wanted.limit(SEEKS + 1).collect()
+    if len(few) <= SEEKS:
+        return scan(spark, path, mode="raw", ranges=json.dumps(sorted(map(tuple, few), key=str)), **options)
+    out = []
+    for name in sorted({r["file"] for r in wanted.select("file").distinct().collect()}, key=str):
+        mine = wanted.where(F.col("file").eqNullSafe(F.lit(name)))
+        for file in [path] if name is None else [f for f in list_files(path) if f.endswith(name)]:
+            raw = scan_raw(spark, file, **options)
+            out.append(read_ranges(raw, mine).select(*raw.columns))
+    return merge(*out)
 
 
 def merge(*frames: DataFrame) -> DataFrame:

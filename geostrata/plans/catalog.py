@@ -186,29 +186,26 @@ def seek_pos(spark, d):
     return f.select("id", F.col("_pos_end").alias("pos_end"))
 
 
-def _ranges(raw: DataFrame) -> DataFrame:
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
     """The positions to look up: here those of every record."""
-    return raw.select("_pos_start", "_pos_end")
+    return R.scan_raw(spark, packed_copy(spark, d)).select("_pos_start", "_pos_end")
 
 
 @q("read_range_raw", SIZED + "SELECT stop - payload AS pos_start, stop AS pos_end, payload AS bytes FROM al")
 def read_range_raw(spark, d):
-    raw = R.scan_raw(spark, packed_copy(spark, d))
-    got = R.read_ranges(raw, _ranges(raw))
+    got = R.look_up(spark, packed_copy(spark, d), _ranges(spark, d))
     return got.select(F.col("_pos_start").alias("pos_start"), F.col("_pos_end").alias("pos_end"), F.octet_length("payload").cast("long").alias("bytes"))
 
 
 @q("read_range_feature", SIZED + f"SELECT id, name, acctbal, {qz('lon')} AS qx, {qz('lat')} AS qy FROM al")
 def read_range_feature(spark, d):
-    raw = R.scan_raw(spark, packed_copy(spark, d))
-    return qpoint(R.decoded(R.read_ranges(raw, _ranges(raw))))
+    return qpoint(R.decoded(R.look_up(spark, packed_copy(spark, d), _ranges(spark, d))))
 
 
 @q("read_range_framed", SIZED + "SELECT stop - frame AS frame_start, frame FROM al")
 def read_range_framed(spark, d):
-    raw = R.scan_raw(spark, packed_copy(spark, d))
     n = F.octet_length(codec.encode_frame("payload")).cast("long")
-    return R.read_ranges(raw, _ranges(raw)).select((F.col("_pos_end") - n).alias("frame_start"), n.alias("frame"))
+    return R.look_up(spark, packed_copy(spark, d), _ranges(spark, d)).select((F.col("_pos_end") - n).alias("frame_start"), n.alias("frame"))
 
 
 @q("meta_check", with_("pt") + "SELECT (id % 7 = 0) AS is_metadata, CAST(count(*) AS BIGINT) AS n FROM pt GROUP BY 1")
@@ -259,7 +256,7 @@ def geojson_open(spark, d):
 
 @q("geojson_chunk", with_("pt") + "SELECT id, name FROM pt")
 def geojson_chunk(spark, d):
-    texts = J.read_texts(spark, _geojson_path(spark, d, False))
+    texts = J.read_texts(spark, _geojson_path(spark, d, False), chunk_bytes=1 << 16)  # several chunks even of these small files
     return texts.select(F.get_json_object("feature", "$.id").cast("bigint").alias("id"), F.get_json_object("feature", "$.properties.name").alias("name"))
 
 

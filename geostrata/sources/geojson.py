@@ -1,28 +1,210 @@
-"""GeoJSON in and out: collections, lines and columns."""
+"""GeoJSON in and out: collections, lines and columns.
+
+A collection is one JSON value, but it is cut all the same: every chunk is first
+summed up (does it end in a text, by how much does the depth change) for both
+states it may begin in; a walk over the sums tells each chunk's real state, and
+then every chunk's task cuts out the features that begin in it.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import properties as P
 from ..schema import BBOX, TYPES
+from .packed import file_system
+
+#: Bytes of a collection that one task reads at a time.
+CHUNK_BYTES = 10 << 20
+_PACKED = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate")
 
 #: Ordinates' nesting by type: dimensions of the coordinates array.
 _DEPTH = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
 
 
-def read_texts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, lines: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One JSON text per feature: ``(feature)``.
 
-    A file is one FeatureCollection; with ``lines`` every line is a feature,
-    which Spark can split.  A collection is one value, so it is one partition.
+    A file is one FeatureCollection, read in chunks by many tasks; with ``lines``
+    every line is a feature.  Members of a collection that are no objects are
+    passed over.  Compressed files are read whole, as they can't be cut.
     """
     if lines:
         return spark.read.text(path).select(F.col("value").alias("feature")).where(F.length(F.trim("feature")) > 0)
-    whole = spark.read.text(path, wholetext=True)
-    return chunk(whole, "value")
+    sizes = {f: n for f, n in file_sizes(path)}
+    if not sizes or any(f.endswith(_PACKED) for f in sizes):
+        return chunk(spark.read.text(path, wholetext=True), "value")
+    rows = [(f, a, min(n, a + chunk_bytes), n <= chunk_bytes) for f, n in sizes.items() for a in range(0, n, chunk_bytes)]
+    schema = "file string, start long, stop long, alone boolean"
+    parts = min(len(rows), max(1, 4 * spark.sparkContext.defaultParallelism)) or 1
+    spread = lambda x, s: spark.createDataFrame(x, s).repartition(max(1, min(parts, len(x))))
+    cut = [r for r in rows if not r[3]]
+    begin = _begins(spread(cut, schema).mapInArrow(_summaries(path), _SUMMARY).toArrow().to_pylist()) if cut else {}
+    known = [(f, a, z, *begin.get((f, a), (False, 0, -1))) for f, a, z, _ in rows]
+    known = [r for r in known if r[5] < r[2]]  # the others lie before or behind the features
+    if not known:
+        return spark.createDataFrame([], "feature string")
+    return spread(known, "file string, start long, stop long, quoted boolean, depth long, first long").mapInArrow(_cutter(path, chunk_bytes), "feature string")
+
+
+def file_sizes(path: str) -> list[tuple[str, int]]:
+    """Data files of a location and their sizes."""
+    import pyarrow.fs as fs
+
+    system, p = file_system(path)
+    info = system.get_file_info(p)
+    if info.type == fs.FileType.File:
+        return [(p, info.size)]
+    if info.type != fs.FileType.Directory:
+        return []
+    found = system.get_file_info(fs.FileSelector(p, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+
+
+def _structure(buf: np.ndarray, escaped: bool, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Whether each byte lies in a text (its opening mark doesn't), by how much it
+    changes the depth, and whether the bytes end in a text.  escaped: a backslash before the first byte makes it one
+    of a text."""
+    n = len(buf)
+    at = np.arange(n)
+    other = np.maximum.accumulate(np.where(buf != 92, at, -1))  # the last byte that is no backslash
+    run = np.zeros(n, np.int64)  # backslashes just before a byte
+    run[1:] = at[:-1] - other[:-1]
+    lead = int(np.argmax(buf != 92)) if (buf != 92).any() else n
+    run[: lead + 1] += escaped
+    mark = (buf == 34) & (run % 2 == 0)
+    inside = ((np.cumsum(mark) - mark + quoted) % 2).astype(bool)
+    step = np.zeros(256, np.int8)
+    step[[123, 91]], step[[125, 93]] = 1, -1
+    return inside, np.where(inside, 0, step[buf]), bool((mark.sum() + quoted) % 2)
+
+
+_COLUMNS = ("file", "start", "quoted", "after", "change", "at", "depths", "ends", "lows")
+_SUMMARY = "file string, start long, quoted boolean, after boolean, change long, at array<long>, depths array<long>, ends array<long>, lows array<long>"
+_FEATURES = re.compile(rb'"features"[ \t\r\n]*:[ \t\r\n]*\[')
+
+
+def _open_chunk(system, file: str, start: int, stop: int) -> tuple[bytes, bool, bytes]:  # noqa: ANN001
+    """A chunk's bytes, whether its first is escaped, and what lies before it."""
+    with system.open_input_file(file) as f:
+        back = min(start, 256)
+        while back < start and not f.read_at(back, start - back).strip(b"\\"):
+            back = min(start, 2 * back)
+        lead = f.read_at(back, start - back)
+        return f.read_at(stop - start, start), (len(lead) - len(lead.rstrip(b"\\"))) % 2 == 1, lead[-256:]
+
+
+def _summaries(path: str) -> Callable:
+    """Of chunks, by whether they begin in a text: whether they end in one, the
+    change of depth, where an array of features opens, at which depth, and where it
+    ends (-1: not here), and where the depth first falls by 1, 2, ..."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        system, _ = file_system(path)
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                raw, escaped, lead = _open_chunk(system, row["file"], row["start"], row["stop"])
+                buf = np.frombuffer(raw, np.uint8)
+                ends = [m.end() - 1 - len(lead) for m in _FEATURES.finditer(lead + raw)]
+                ends = [e for e in ends if e >= 0]
+                for quoted in (False, True):
+                    inside, step, last = _structure(buf, escaped, quoted)
+                    depth = np.cumsum(step.astype(np.int64))
+                    at = [e for e in ends if not inside[e]]
+                    stops = [np.flatnonzero(depth[e:] < depth[e]) for e in at]
+                    stops = [row["start"] + e + int(x[0]) if len(x) else -1 for e, x in zip(at, stops)]
+                    low = np.minimum.accumulate(np.minimum(depth, 0))
+                    lows = (row["start"] + np.flatnonzero(np.diff(low, prepend=0))).tolist()
+                    out.append((row["file"], row["start"], quoted, last, int(depth[-1]), [row["start"] + e for e in at], [int(depth[e]) for e in at], stops, lows))
+            yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, r)) for r in out], _summary_schema())
+
+    return run
+
+
+def _summary_schema():  # noqa: ANN202
+    import pyarrow as pa
+
+    long = pa.int64()
+    return pa.schema(list(zip(_COLUMNS, (pa.string(), long, pa.bool_(), pa.bool_(), long, *[pa.list_(long)] * 4))))
+
+
+def _begins(rows: list[dict]) -> dict[tuple[str, int], tuple[bool, int, int]]:
+    """Of each chunk: whether it begins in a text, its depth, and where the features
+    begin (beyond any file for chunks behind their end, and if nowhere)."""
+    by, nowhere = {(r["file"], r["start"], r["quoted"]): r for r in rows}, 1 << 62
+    out: dict[tuple[str, int], tuple[bool, int, int]] = {}
+    file, quoted, depth, first, last = None, False, 0, nowhere, -1
+    for name, start in sorted({(r["file"], r["start"]) for r in rows}):
+        if name != file:
+            file, quoted, depth, first, last = name, False, 0, nowhere, -1
+        r = by[name, start, quoted]
+        if first == nowhere:
+            found = [(at, end) for at, d, end in zip(r["at"], r["depths"], r["ends"]) if depth + d == 2]
+            if found:
+                first, last = found[0][0] + 1, found[0][1]
+                out.update({k: (*v[:2], first) for k, v in out.items() if k[0] == name})
+            out[name, start] = (quoted, depth, first)
+        elif last >= 0:
+            out[name, start] = (quoted, depth, nowhere)
+        else:
+            out[name, start] = (quoted, depth, first)
+            if len(r["lows"]) >= depth - 1:  # here the depth falls to 1: the array ends
+                last = r["lows"][depth - 2]
+        quoted, depth = r["after"], depth + r["change"]
+    return out
+
+
+def _cutter(path: str, chunk_bytes: int) -> Callable:
+    """The features that begin in a chunk, as texts."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        system, _ = file_system(path)
+        for b in batches:
+            for row in b.to_pylist():
+                texts = _features_of(system, row, chunk_bytes)
+                for k in range(0, len(texts), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(texts[k : k + 4096], pa.string())], ["feature"])
+
+    return run
+
+
+def _features_of(system, row: dict, chunk_bytes: int) -> list[str]:  # noqa: ANN001
+    file, start, stop = row["file"], row["start"], row["stop"]
+    raw, escaped, _ = _open_chunk(system, file, start, stop)
+    own = len(raw)
+    while True:
+        buf = np.frombuffer(raw, np.uint8)
+        inside, step, _ = _structure(buf, escaped, row["quoted"])
+        depth = row["depth"] + np.cumsum(step.astype(np.int64))
+        first = row["first"] - start
+        if row["first"] < 0:  # the file's only chunk
+            first = next((m.end() for m in _FEATURES.finditer(raw) if depth[m.end() - 1] == 2 and not inside[m.end() - 1]), len(raw))
+        first = max(0, first)
+        end = np.flatnonzero((depth[first:] == 1) & (step[first:] < 0)) + first  # the array's end
+        until = int(end[0]) if len(end) else len(raw)
+        opens = np.flatnonzero((buf == 123) & (step > 0) & (depth == 3))
+        opens = opens[(opens >= first) & (opens < min(until, own))]
+        closes = np.flatnonzero((buf == 125) & (step < 0) & (depth == 2))
+        nxt = np.searchsorted(closes, opens)
+        closes = closes[nxt[nxt < len(closes)]]
+        if len(closes) == len(opens):
+            return [raw[a : z + 1].decode("utf-8", "replace") for a, z in zip(opens.tolist(), closes.tolist())]
+        with system.open_input_file(file) as f:  # the last feature goes on in the next chunk
+            more = f.read_at(max(chunk_bytes, len(raw)), start + len(raw))
+        if not more:
+            return [raw[a : z + 1].decode("utf-8", "replace") for a, z in zip(opens.tolist(), closes.tolist())]
+        raw += more
 
 
 def chunk(df: DataFrame, col: str) -> DataFrame:

@@ -9,6 +9,7 @@ from geostrata.functions import properties as P
 from geostrata.operators import scan as R
 from geostrata.operators import split as S
 from geostrata.schema import FEATURE
+from geostrata.sources import geojson as J
 from geostrata.sources.packed import list_files, register
 
 
@@ -96,3 +97,27 @@ def test_stream_sees_growth(spark, features, tmp_path):
     features.where("id >= 100").write.format("packedfeature").mode("append").save(path)
     run()
     assert ids(spark.read.parquet(out)) == list(range(500))
+
+
+@pytest.mark.parametrize("size", [7, 64, 333, 5000, 1 << 20])
+def test_collections_are_cut_anywhere(spark, tmp_path, size):
+    texts = ['{"type":"Feature","id":%d,"properties":{"a":"%s"},"geometry":null}' % (k, t) for k, t in enumerate(['x"features":[{'.replace('"', '\\"'), "\\\\", "\\\\\\\"}]", "é漢🙂", "{[", "b" * 300, ""] * 3)]
+    head = '{"crs":{"properties":{"name":"features"}},"bbox":[1,2], "note":"\\"features\\": [", "features" : \n [ '
+    for name, sep in (("a.json", ",\n "), ("b.json", ",")):
+        (tmp_path / name).write_text(head + sep.join(texts) + ' ], "after": [{"type":"Feature","id":99}, {"x":{"y":[{}]}}]}\n')
+    (tmp_path / "c.json").write_text('{"type":"FeatureCollection","features":[]}')
+    (tmp_path / "d.json").write_text("")
+    got = [json.loads(r["feature"]) for r in J.read_texts(spark, str(tmp_path), chunk_bytes=size).collect()]
+    assert sorted(got, key=str) == sorted([json.loads(t) for t in texts] * 2, key=str)
+
+
+def test_look_up_reads_single_records(spark, features, tmp_path, monkeypatch):
+    path = str(tmp_path / "packed")
+    features.repartition(2).write.format("packedfeature").mode("overwrite").save(path)
+    one = list_files(path)[0]
+    some = R.scan_raw(spark, one).where("_pos_start % 5 = 0").withColumn("file", F.lit(one.rsplit("/", 1)[1]))
+    want = sorted((bytes(r["payload"]), r["_pos_start"], r["_pos_end"]) for r in some.collect())
+    assert want and sorted(map(tuple, R.look_up(spark, path, some).collect())) == want
+    assert R.look_up(spark, path, some.limit(0)).count() == 0
+    monkeypatch.setattr(R, "SEEKS", 2)  # beyond the bound: a scan and a join
+    assert sorted(map(tuple, R.look_up(spark, one, some).collect())) == want

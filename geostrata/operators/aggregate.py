@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import properties as P
+from ..session import kept
 
 RESERVED = ("Bounds", "Type", "Geometry")
 
 
+def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the running sum of a column in the given order, and no pass in
+    one task: a range partitioning (kept, as its bounds are sampled), sums within
+    partitions, and the few partitions' totals before each."""
+    parts = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_part").agg(F.sum(value).alias("_total"))
+    before = totals.withColumn("_before", F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).drop("_total")
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order))
+    out = parts.withColumn(name, within).join(F.broadcast(before), "_part")  # one row a partition
+    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def key_union(rows: DataFrame, order: str) -> DataFrame:
     """``(key, first)``: distinct property keys and where each is first seen,
     then the reserved ones (NULL)."""

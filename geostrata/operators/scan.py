@@ -36,6 +36,32 @@ def scan_buffer(df: DataFrame, col: str) -> DataFrame:
     return rows.select(*rest, "r.payload", F.col("r.start").alias("_pos_start"), F.col("r.end").alias("_pos_end"))
 
 
+def to_buffers(df: DataFrame, by: str, order: str, most: int = 16 << 20) -> DataFrame:
+    """``(by, part, buf)``: rows' records (column ``frame``) by a key and in order, as
+    buffers of about ``most`` bytes at the most, numbered within their key."""
+    kind = dict(df.dtypes)[by]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        key, part, held, n, names = None, 0, [], 0, [by, "part", "buf"]
+        one = lambda: pa.RecordBatch.from_arrays([pa.array([key], types[0]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], names)
+        for b in batches:
+            types = (b.schema.field(0).type,)
+            for k, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and (k != key or n + len(frame) > most):
+                    yield one()
+                    part, held, n = part + 1 if k == key else 0, [], 0
+                key = k
+                held.append(frame)
+                n += len(frame)
+        if held:
+            yield one()
+
+    rows = df.select(by, "frame", F.col(order).alias("_o")).repartition(by).sortWithinPartitions(by, "_o").select(by, "frame")
+    return rows.mapInArrow(run, f"`{by}` {kind}, part int, buf binary")
+
+
 def decoded(raw: DataFrame, sint_zigzag: bool = False) -> DataFrame:
     """Raw records with the feature's columns in place of the payload."""
     rest = [c for c in raw.columns if c != "payload"]
@@ -81,13 +107,17 @@ def merge(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
+def index(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
     """The index of a packed folder: one row per byte range.  Its size follows
-    the files' number, not the records'."""
-    rows = []
+    the files' number, not the records'.  joined: positions as if the files, in
+    order, were one."""
+    rows, base = [], 0
     for file in list_files(path):
+        stop = base
         for r in read_index(path, file) or []:
-            rows.append((r["key"], r["start"], r["end"], r["end"] - r["start"], r["count"], r["w"], r["s"], r["e"], r["n"]))
+            stop = base + r["end"]
+            rows.append((r["key"], base + r["start"], stop, r["end"] - r["start"], r["count"], r["w"], r["s"], r["e"], r["n"]))
+        base = stop if joined else 0
     return spark.createDataFrame(rows, INDEX)
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import properties as P
 from ..functions import tiles as T
+from . import aggregate as A
 
 
 def split_map(rows: DataFrame, keys: Column, name: str = "key") -> DataFrame:
@@ -34,14 +35,9 @@ def bounds(col: str = "bbox") -> list[Column]:
 
 
 def subfile_index(rows: DataFrame, size: Column) -> DataFrame:
-    """Byte range of every key if keys are laid out in order.
-
-    Keys are aggregated before the running sum; only the aggregated keys meet in
-    the window's one partition.
-    """
+    """Byte range of every key if keys are laid out in order."""
     per = rows.groupBy("key").agg(F.sum(size).cast("long").alias("size"), F.count(F.lit(1)).alias("n"), *bounds())
-    end = F.sum("size").over(Window.orderBy("key"))
-    return per.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).select("key", "start", "end", "size", "n", "w", "s", "e", "north")
+    return A.running_total(per, ["key"], "size", "end").withColumn("start", F.col("end") - F.col("size")).select("key", "start", "end", "size", "n", "w", "s", "e", "north")
 
 
 def combine_nested(indexes: list[DataFrame]) -> DataFrame:
@@ -50,8 +46,7 @@ def combine_nested(indexes: list[DataFrame]) -> DataFrame:
     for k, df in enumerate(indexes):
         df = df.withColumn("file", F.lit(k))
         union = df if union is None else union.unionByName(df)
-    end = F.sum("size").over(Window.orderBy("file", "start"))
-    return union.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    return A.running_total(union, ["file", "start"], "size", "end").withColumn("start", F.col("end") - F.col("size"))
 
 
 def write_split(rows: DataFrame, path: str, partitions: int | None = None, salt: int = 1) -> None:
@@ -61,6 +56,12 @@ def write_split(rows: DataFrame, path: str, partitions: int | None = None, salt:
     rows.repartition(*args).sortWithinPartitions("key").write.format("packedfeature").mode("overwrite").save(path)
 
 
+def write_combined(rows: DataFrame, path: str) -> None:
+    """Rows with a ``key`` as one stream in the order of keys, in as many files as
+    there are range partitions; ``scan.index`` with ``joined`` has its positions."""
+    rows.repartitionByRange("key").sortWithinPartitions("key").write.format("packedfeature").mode("overwrite").save(path)
+
+
 def write_table(rows: DataFrame, path: str) -> None:
     """Rows with a ``key`` as a Parquet table partitioned by it."""
     rows.repartition("key").write.mode("overwrite").partitionBy("key").parquet(path)

@@ -50,6 +50,13 @@ def vl(x: str) -> str:
     return "(CASE " + " ".join(f"WHEN ({x}) < {1 << (7 * n)} THEN {n}" for n in range(1, 9)) + " ELSE 9 END)"
 
 
+def hexed(x: str) -> str:
+    """A varint's bytes in hexadecimal digits, for values under 2^35."""
+    byte = lambda k, more: f"printf('%02x', (({x}) >> {7 * k}) & 127 {'| 128' if more else ''})"
+    sizes = [" || ".join([*[byte(k, True) for k in range(n - 1)], byte(n - 1, False)]) for n in range(1, 6)]
+    return "(CASE " + " ".join(f"WHEN ({x}) < {1 << (7 * n)} THEN {s}" for n, s in enumerate(sizes[:-1], 1)) + f" ELSE {sizes[-1]} END)"
+
+
 def nest(x: str) -> str:
     return f"(1 + {vl(x)} + ({x}))"
 
@@ -67,6 +74,23 @@ POINT_SIZE = (
     f"{nest(vl(zz(qz('lon'))) + ' + ' + vl(zz(qz('lat'))))} + {nest('2 * ' + vl(zz(qz('lon'))) + ' + 2 * ' + vl(zz(qz('lat'))))})"
 )
 SIZED = with_("pt") + f", sz AS (SELECT *, CAST({POINT_SIZE} AS BIGINT) AS payload FROM pt), fr AS (SELECT *, CAST(1 + {vl('payload')} + payload AS BIGINT) AS frame FROM sz), al AS (SELECT *, CAST(sum(frame) OVER (ORDER BY id) AS BIGINT) AS stop FROM fr) "
+#: The bytes themselves, in hexadecimal digits: a double's from its sign, exponent and mantissa.
+_TEXT_HEX = "'12' || {body} || '0a' || {klen} || '{key}' || '12' || {value} || '0a' || {len} || lower(hex(encode({c})))"
+
+
+def _text_hex(key: str, c: str) -> str:
+    n, k = f"octet_length(encode({c}))", len(key)
+    return _TEXT_HEX.format(body=hexed(f"4 + {k} + 2 + {n}"), klen=f"'{k:02x}'", key=key.encode().hex(), value=hexed(f"2 + {n}"), len=hexed(n), c=c)
+
+
+_EXPONENT = "CAST(floor(log2(abs(acctbal))) AS BIGINT)"
+_BITS = f"(CASE WHEN acctbal = 0 THEN 0::HUGEINT ELSE (CASE WHEN acctbal < 0 THEN 9223372036854775808::HUGEINT ELSE 0::HUGEINT END) + (({_EXPONENT} + 1023)::HUGEINT * 4503599627370496) + CAST((abs(acctbal) / pow(2, {_EXPONENT}) - 1) * 4503599627370496 AS HUGEINT) END)"
+_DOUBLE_HEX = " || ".join(f"printf('%02x', CAST(({_BITS} // {1 << (8 * k)}::HUGEINT) % 256 AS INT))" for k in range(8))
+_ORDINATES = hexed(zz(qz("lon"))) + " || " + hexed(zz(qz("lat")))
+_N = vl(zz(qz("lon"))) + " + " + vl(zz(qz("lat")))
+_ACCTBAL_HEX = "'12140a07" + b"acctbal".hex() + "120919' || " + _DOUBLE_HEX
+POINT_HEX = " || ".join(["'08'", hexed("id"), _ACCTBAL_HEX, _text_hex("name", "name"), _text_hex("segment", "segment"), "'180122'", hexed(_N), _ORDINATES, "'2a'", hexed(f"2 * ({_N})"), _ORDINATES, _ORDINATES])
+BYTES = with_("pt") + f", al AS (SELECT id, {POINT_HEX} AS hex FROM pt) "
 BOX = "min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS north"
 QBOX = ", ".join(f"{qz(f'{fn}({c})')} AS {n}" for fn, c, n in (("min", "lon", "qw"), ("min", "lat", "qs"), ("max", "lon", "qe"), ("max", "lat", "qn")))
 
@@ -124,8 +148,8 @@ def scan_file(spark, d):
 
 @q("scan_buffer", QPOINT)
 def scan_buffer(spark, d):
-    buf = V.points(spark, d).select(F.pmod("id", F.lit(64)).alias("g"), codec.encode_frame(codec.encode_feature()).alias("frame"))
-    buf = buf.groupBy("g").agg(F.collect_list("frame").alias("fs")).select("g", F.expr("aggregate(fs, X'', (a, x) -> a || x)").alias("buf"))
+    buf = V.points(spark, d).select("id", F.pmod("id", F.lit(64)).alias("g"), codec.encode_frame(codec.encode_feature()).alias("frame"))
+    buf = R.to_buffers(buf, "g", "id", 1 << 16)
     return qpoint(R.decoded(R.scan_buffer(buf, "buf")))
 
 
@@ -134,16 +158,22 @@ def scan_next(spark, d):
     return R.scan(spark, packed_copy(spark, d), columns="id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
 
 
-@q("scan_bytes", SIZED + "SELECT payload, CAST(count(*) AS BIGINT) AS n FROM al GROUP BY payload")
+@q("scan_bytes", BYTES + "SELECT hex AS payload, CAST(count(*) AS BIGINT) AS n FROM al GROUP BY hex")
 def scan_bytes(spark, d):
     raw = R.scan_raw(spark, packed_copy(spark, d))
-    return raw.groupBy(F.octet_length("payload").cast("long").alias("payload")).agg(F.count(F.lit(1)).alias("n"))
+    return raw.groupBy(F.lower(F.hex("payload")).alias("payload")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("scan_bytes_pos", SIZED + "SELECT stop - payload AS pos_start, stop AS pos_end, payload FROM al")
+_AT = BYTES + f", ap AS (SELECT hex, length(hex) // 2 AS n, CAST(sum(length(hex) // 2 + 1 + {vl('length(hex) // 2')}) OVER (ORDER BY id) AS BIGINT) AS stop FROM al) "
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("_pos_start").alias("pos_start"), F.col("_pos_end").alias("pos_end"), F.lower(F.hex("payload")).alias("payload"))
+
+
+@q("scan_bytes_pos", _AT + "SELECT stop - n AS pos_start, stop AS pos_end, hex AS payload FROM ap")
 def scan_bytes_pos(spark, d):
-    raw = R.scan_raw(spark, packed_copy(spark, d))
-    return raw.select(F.col("_pos_start").alias("pos_start"), F.col("_pos_end").alias("pos_end"), F.octet_length("payload").cast("long").alias("payload"))
+    return placed(R.scan_raw(spark, packed_copy(spark, d)))
 
 
 @q("scan_feature", with_("pt") + "SELECT id, name, segment, 'Point' AS geom_type, CAST(2 AS INT) AS dims FROM pt")
@@ -191,10 +221,9 @@ def _ranges(spark: SparkSession, d: str) -> DataFrame:
     return R.scan_raw(spark, packed_copy(spark, d)).select("_pos_start", "_pos_end")
 
 
-@q("read_range_raw", SIZED + "SELECT stop - payload AS pos_start, stop AS pos_end, payload AS bytes FROM al")
+@q("read_range_raw", _AT + "SELECT stop - n AS pos_start, stop AS pos_end, hex AS payload FROM ap")
 def read_range_raw(spark, d):
-    got = R.look_up(spark, packed_copy(spark, d), _ranges(spark, d))
-    return got.select(F.col("_pos_start").alias("pos_start"), F.col("_pos_end").alias("pos_end"), F.octet_length("payload").cast("long").alias("bytes"))
+    return placed(R.look_up(spark, packed_copy(spark, d), _ranges(spark, d)))
 
 
 @q("read_range_feature", SIZED + f"SELECT id, name, acctbal, {qz('lon')} AS qx, {qz('lat')} AS qy FROM al")
@@ -283,14 +312,14 @@ def sink_file_append(spark, d):
 
 @q("sink_buf_new", SIZED + "SELECT id % 16 AS g, CAST(sum(frame) AS BIGINT) AS bytes FROM al GROUP BY 1")
 def sink_buf_new(spark, d):
-    buf = V.points(spark, d).select(F.pmod("id", F.lit(16)).alias("g"), codec.encode_frame(codec.encode_feature()).alias("frame"))
-    buf = buf.groupBy("g").agg(F.collect_list("frame").alias("fs")).select("g", F.expr("aggregate(fs, X'', (a, x) -> a || x)").alias("buf"))
-    return buf.select("g", F.octet_length("buf").cast("long").alias("bytes"))
+    buf = V.points(spark, d).select("id", F.pmod("id", F.lit(16)).alias("g"), codec.encode_frame(codec.encode_feature()).alias("frame"))
+    buf = R.to_buffers(buf, "g", "id")
+    return buf.groupBy("g").agg(F.sum(F.octet_length("buf")).cast("long").alias("bytes"))
 
 
-@q("write_feature", SIZED + "SELECT id, frame FROM al")
+@q("write_feature", BYTES + f"SELECT id, '0a' || {hexed('length(hex) // 2')} || hex AS frame FROM al")
 def write_feature(spark, d):
-    return V.points(spark, d).select("id", F.octet_length(codec.encode_frame(codec.encode_feature())).cast("long").alias("frame"))
+    return V.points(spark, d).select("id", F.lower(F.hex(codec.encode_frame(codec.encode_feature()))).alias("frame"))
 
 
 def _rewritten(spark: SparkSession, d: str, column: str) -> DataFrame:
@@ -396,9 +425,9 @@ for _v, _name in (("points", "read_point"), ("lines", "decode_feature"), ("multi
     q(_name, _POSITIONS[_v])(_roundtrip(_v))
 
 
-@q("encode_feature", SIZED + "SELECT id, payload FROM al")
+@q("encode_feature", BYTES + "SELECT id, hex AS payload FROM al")
 def encode_feature(spark, d):
-    return V.points(spark, d).select("id", F.octet_length(codec.encode_feature()).cast("long").alias("payload"))
+    return V.points(spark, d).select("id", F.lower(F.hex(codec.encode_feature())).alias("payload"))
 
 
 def _encoded_size(view: str) -> Callable:
@@ -579,12 +608,11 @@ def subfile_index(spark, d):
 
 @q("combine", SIZED + f", {_INDEX} SELECT key, stop - size AS start, stop FROM iy")
 def combine(spark, d):
-    """The index of keys combined into one real file."""
+    """The index of keys combined into one stream."""
     register(spark)
     path = fresh_path(spark, "combined")
-    rows = sized_points(spark, d).drop("frame")
-    rows.coalesce(1).sortWithinPartitions("key").write.format("packedfeature").mode("append").save(path)
-    return R.index(spark, path).select("key", "start", F.col("end").alias("stop"))
+    S.write_combined(sized_points(spark, d).drop("frame"), path)
+    return R.index(spark, path, joined=True).select("key", "start", F.col("end").alias("stop"))
 
 
 @q("split_combine", with_("pt") + "SELECT segment AS key, id FROM pt")
@@ -855,10 +883,10 @@ def packed_size(spark, d):
     return V.points(spark, d).select("id", A.packed_size().alias("payload"))
 
 
-@q("append_all", with_("pt") + "SELECT id, CAST(octet_length(encode(name)) + octet_length(encode(segment)) AS BIGINT) AS bytes FROM pt")
+@q("append_all", with_("pt") + "SELECT id, lower(hex(encode(name))) || lower(hex(encode(segment))) AS bytes FROM pt")
 def append_all(spark, d):
     c = V.table(spark, d, "customer")
-    return c.select(F.col("c_custkey").cast("long").alias("id"), F.octet_length(F.concat(F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8"))).cast("long").alias("bytes"))
+    return c.select(F.col("c_custkey").cast("long").alias("id"), F.lower(F.hex(F.concat(F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8")))).alias("bytes"))
 
 
 def _value_roundtrip(tag: int, x: Callable[[], Column], field: str, name: str) -> Callable:

@@ -286,7 +286,7 @@ class PackedFeatureSource(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> PackedWriter:
         return PackedWriter(dict(self.options), schema, overwrite)
 
-    def simpleStreamReader(self, schema: T.StructType):  # noqa: ANN201, N802
+    def streamReader(self, schema: T.StructType):  # noqa: ANN201, N802
         from ..streaming.append_log import AppendLogReader
 
         return AppendLogReader(dict(self.options), schema)

@@ -121,3 +121,14 @@ def test_look_up_reads_single_records(spark, features, tmp_path, monkeypatch):
     assert R.look_up(spark, path, some.limit(0)).count() == 0
     monkeypatch.setattr(R, "SEEKS", 2)  # beyond the bound: a scan and a join
     assert sorted(map(tuple, R.look_up(spark, one, some).collect())) == want
+
+
+def test_whole_records():
+    from geostrata.streaming import append_log
+
+    data = b"".join(codec.frame(b"x" * n) for n in (0, 5, 127, 128, 300, 70_000))
+    ends = [z for _, _, z in codec.records(data)]
+    for size in (0, 1, 2, 3, 8, 140, 300, 600, 70_000, len(data) - 1, len(data)):
+        for start in [0, *[e for e in ends if e <= size]]:
+            got = append_log.whole_records(lambda n, at: data[:size][at : at + n], size, start)
+            assert got == max([e for e in [0, *ends] if start <= e <= size])

@@ -8,10 +8,11 @@ white-space-separated words made of them, are kept in dictionaries bounded in
 entries and in their length, so each is encoded once per worker as long as it
 stays there.
 
-Words in characters up to U+024F take this way; others (where normalisation
-may compose or reorder) and those that hold a special string go to the library
-whole.  White space always ends a pre-token and is dropped, so words are
-independent of each other.
+Words in characters up to U+024F are split into pre-tokens here, others (where
+normalisation may compose or reorder) by the library's own normaliser and
+pre-tokeniser; both then go the same way.  Only words that hold a special string
+go to the library whole.  White space always ends a pre-token and is dropped, so
+words are independent of each other.
 
 Defined results: null counts as empty, with no ids and an empty decoded text;
 every row gives a row; other columns are ignored.
@@ -86,7 +87,9 @@ class Codec:
         self.most = words, fragments
 
     def pretokens(self, word: str) -> list[str]:
-        """The pre-tokens of a plain word, in the vocabulary's alphabet."""
+        """The pre-tokens of a word, in the vocabulary's alphabet."""
+        if not _PLAIN.fullmatch(word):
+            return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
         low = word.lower()
         parts = [low] if low.isalpha() else self.pattern.findall(low)
         return ["".join([_MAP[b] for b in p.encode()]) if not p.isascii() or not p.isprintable() else p for p in parts]
@@ -125,7 +128,7 @@ class Codec:
                         need[1].add(end)
                     single.append((w, low, end))
                     continue
-            if not _PLAIN.fullmatch(w) or "<" in w and any(s in w for s in self.special):
+            if "<" in w and any(s in w for s in self.special):
                 self.word[w] = self._bytes(self.library.encode(w, add_special_tokens=False).ids)
                 continue
             parts = [self.fragments(p) for p in self.pretokens(w)]

@@ -61,6 +61,18 @@ def test_bpe_small_dictionaries():
         assert np.frombuffer(ids, "<u4").tolist() == e and text == c.library.decode(e, skip_special_tokens=False)
 
 
+def test_bpe_of_any_characters():
+    rng = np.random.default_rng(12)
+    c = bpe.Codec(bpe.default_path(), words=300, fragments=300)
+    pools = ["abcXYZ'sté ", "漢字かなガ゙ー ", "\u0301\u0308\u0327aeoAEO ", "ﬁǅ㎏²½٣४ⅷ ", "\u00a0\u2028\u3000\u0085x ", "🙂👩\u200d🔬🏽 ", "İΣςßẞ\u1e9b\u0323 ", "한글ᄒ\u1161\u11ab "]
+    for k in range(3000):
+        pool = "".join(rng.choice(pools, 2)) if k % 3 else "".join(map(chr, rng.choice([x for x in range(0x20, 0x3000)], 12)))
+        t = "".join(rng.choice(list(pool), rng.integers(1, 25)))
+        ids, text = c([t])[0]
+        e = c.library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == e and text == c.library.decode(e, skip_special_tokens=False), ascii(t)
+
+
 def test_bpe_keeps_no_long_words():
     c = bpe.Codec(bpe.default_path())
     texts = ["a" * 5000 + " b " + "ñx§" * 900 + " b " + "漢" * 300, "a" * 5000 + " " + "é." * 200]

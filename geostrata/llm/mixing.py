@@ -140,3 +140,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with the words that the mix takes of it."""
     return mix(load(spark, sf_dir, "documents"))
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources' sizes and targets."""
+    return targets(sized(load(spark, sf_dir, "documents"))).select("source", "source_size", F.round("target", 3).alias("target"), F.col("n").alias("n_docs"))
+
+
+PART_SQL = r"""
+WITH RECURSIVE s AS (
+  SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size, count(*) AS n_docs FROM documents GROUP BY source
+),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+-- Sources are capped until none is above: at each step those whose share of what is left exceeds their cap.
+step AS (
+  SELECT 0 AS k, source, source_size, n_docs, weight, false AS capped, CAST(0 AS DOUBLE) AS level FROM w
+  UNION ALL
+  SELECT k + 1, source, source_size, n_docs, weight, capped OR now * weight >= 3 * source_size, now FROM (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN 3 * source_size END) OVER (), 0)) / nullif(sum(CASE WHEN NOT capped THEN weight END) OVER (), 0)::DOUBLE AS now FROM step
+  ) WHERE k < 64
+)
+SELECT source, source_size, round(CASE WHEN capped THEN 3.0 * source_size ELSE level * weight END, 3)::DOUBLE AS target, n_docs FROM step WHERE k = 64
+"""

@@ -254,3 +254,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_listed(KINDS), 256).alias("base_sha256"),
         _listed((*KINDS, "id")).alias("spans"), F.size("id").cast("long").alias("n_id"),
     )
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind all ``documents`` have."""
+    return query(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+PART_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+         regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+         list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+         list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone
+  FROM d
+)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS INT), 256) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(card, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k:
+    CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(x), k, 1) AS INT) ELSE CAST(substr(reverse(x), k, 1) AS INT) * 2 // 10 + CAST(substr(reverse(x), k, 1) AS INT) * 2 % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+FROM m
+"""

@@ -221,3 +221,24 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of all ``documents``."""
     return quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base figures of all ``documents``."""
+    return query(spark, sf_dir).drop("kept", "score")
+
+
+PART_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
+hit AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, range(8) AS g(o) GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN hit USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+"""

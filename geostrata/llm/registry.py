@@ -17,11 +17,16 @@ _MODULES = {
     "op10_suffix_dedup": "suffix_dedup",
 }
 
+#: Columns of operators that SQL can express, as queries of their own.
+_PARTS = {"quality_base": "quality", "pii_counts": "pii", "mix_targets": "mixing"}
+
 
 def queries() -> dict:
-    return {name: import_module(f"geostrata.llm.{m}").query for name, m in _MODULES.items()}
+    whole = {name: import_module(f"geostrata.llm.{m}").query for name, m in _MODULES.items()}
+    return whole | {name: import_module(f"geostrata.llm.{m}").part for name, m in _PARTS.items()}
 
 
 def oracle_sql() -> dict:
     found = {name: getattr(import_module(f"geostrata.llm.{m}"), "SQL", None) for name, m in _MODULES.items()}
+    found |= {name: import_module(f"geostrata.llm.{m}").PART_SQL for name, m in _PARTS.items()}
     return {k: v for k, v in found.items() if v}

@@ -123,6 +123,48 @@ def test_quality_base(odd, odd_labels, spark):
     assert all(r["kept"] != r["base_failed"] for r in free)
 
 
+def test_quality_verdict_by_hand(spark):
+    """Scores from dictionaries of counts, the threshold by trying every cut."""
+    rng, mask = np.random.default_rng(4), (1 << 64) - 1
+    good, bad = [f"plain{k}" for k in range(40)], [f"junk{k}" for k in range(40)]
+    rows = []
+    for k in range(150):
+        words = list(rng.choice(good if k % 3 else bad, 18)) + list(rng.choice(good + bad, rng.integers(0, 30)))
+        rows.append((k, " ".join(words[: 15 if k % 20 == 7 else None])))
+    labels = [(k, int(k % 3 > 0) if k % 11 else int(k % 3 == 0), 0) for k in range(120)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b, c = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
+
+    def buckets(text):
+        h = []
+        for w in text.split():
+            v = zlib.crc32(w.encode()) << 32 | zlib.crc32(w.encode(), 0x5BD1E995)
+            v = (v ^ v >> 31) * c & mask
+            h.append(v ^ v >> 29)
+        return [(x * a & mask) >> 48 for x in h] + [(((x * b + y) & mask ^ c) * a & mask) >> 48 for x, y in zip(h, h[1:])]
+
+    fold = {k: zlib.crc32(str(k).encode()) % 5 for k, *_ in labels}
+    raw, target = Counter(), Counter()
+    for k, t in rows:
+        raw.update(buckets(t))
+        if k < 120 and labels[k][1] == 1 and fold[k]:
+            target.update(buckets(t))
+    n, m = sum(target.values()) + 0.5 * 65536, sum(raw.values()) + 0.5 * 65536
+    score = {k: np.mean([np.log((target[x] + 0.5) / n) - np.log((raw[x] + 0.5) / m) for x in buckets(t)]) for k, t in rows}
+    held = {q: [score[k] for k, label, _ in labels if label == q and not fold[k]] for q in (0, 1)}
+    step = lambda x: np.floor(x * quality.GRID)
+    low = [min(y for y in held[1] if step(y) == step(x)) for x in held[1]]
+    high = [max(y for y in held[0] if step(y) == step(x)) for x in held[0]]
+    wrong = {cut: np.mean([x < cut for x in low]) + np.mean([x >= cut for x in high]) for cut in sorted(set(low))}
+    cut = min(wrong, key=lambda x: (round(wrong[x], 12), x))
+    under = [x for x in high if x < cut]
+    least = (cut + max(under)) / 2 if under else cut
+    got = {r["doc_id"]: r for r in quality.quality(docs, known).collect()}
+    assert all(abs(got[k]["score"] - score[k]) < 1e-9 for k, _ in rows)
+    want = {k: not quality_brute(t)[5] and score[k] >= least for k, t in rows}
+    assert {k: r["kept"] for k, r in got.items()} == want and len(set(want.values())) == 2
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

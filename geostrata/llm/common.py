@@ -115,7 +115,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, ext
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of a graph of long ids: ``(node, root)``, root the
     smallest id reachable.  Alternating large-star and small-star rounds, each
-    written to the shared folder; nodes without edges are not returned.
+    written to the shared folder, hubs attached by broadcast; nodes without edges
+    are not returned.
     """
     e = materialise(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
@@ -129,12 +130,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             ).distinct()
         before = tuple(now)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = attach(both.where("v > u"), low, "u", "n", 2 * now["n"], ["m"])
+        large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "edges")
+        small = attach(large, low, "u", "n", now["n"], ["m"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(low)
         release(e)
         release(large)
         e = nxt

@@ -349,7 +349,7 @@ def train(toxic: np.ndarray, look: Callable[[dict | None, int], Looked], share:
     best = np.full(len(toxic), p["c"][0], np.float64)
     for d, s, *_ in look(p, -1):
         best[d] = s
-    use = held if 20 <= held.sum() and toxic[held].any() and not toxic[held].all() else np.ones(len(toxic), bool)
+    use = held if toxic[held].any() and not toxic[held].all() else np.ones(len(toxic), bool)
     p["cal"] = calibrate(best[use], toxic[use], share)
     return p
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,14 +135,97 @@ def cover(geom_type: str, coords: list, zoom: int) -> list[dict]:
     return [{"x": x, "y": y, "z": zoom} for x, y in sorted(out)]
 
 
-def tile_cover(geom_type: Column | str, coords: Column | str, zoom: int) -> Column:
-    """``cover`` as a column (Arrow batches); points alone stay in the JVM."""
-    import pyarrow as pa
+def _clamp(v: np.ndarray, n: int) -> np.ndarray:
+    return np.clip(np.trunc(v).astype(np.int64), 0, n - 1)
+
+
+def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every pair the whole numbers from first to last: owner and number."""
+    size = np.maximum(last - first + 1, 0)
+    owner = np.repeat(np.arange(len(first)), size)
+    return owner, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + first[owner]
+
+
+def cover_batch(types: pa.Array, geometries: pa.Array, zoom: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``cover`` of a batch: record, x and y of every tile, in order.  Raises
+    ``ValueError`` for nulls within geometries."""
+    n, levels, arr = 1 << zoom, [], geometries
+    for depth in range(4):
+        if depth and arr.null_count:
+            raise ValueError("null within a geometry")
+        o = np.asarray(arr.offsets).astype(np.int64)
+        levels.append(np.diff(o))
+        arr = arr.values.slice(int(o[0]), int(o[-1] - o[0]))
+    polygons, lines, positions, width = levels
+    if arr.null_count or (width < 2).any():
+        raise ValueError("a position is incomplete")
+    record = np.repeat(np.arange(len(polygons)), polygons)  # of polygons
+    polygon = np.repeat(np.arange(len(lines)), lines)  # of lines
+    line = np.repeat(np.arange(len(positions)), positions)  # of positions
+    v, at = np.asarray(arr), np.cumsum(width) - width
+    phi = np.radians(np.clip(v[at + 1], -85.0511287798066, 85.0511287798066))
+    x, y = (v[at] + 180.0) / 360.0 * n, (1 - np.log(np.tan(phi) + 1 / np.cos(phi)) / np.pi) / 2 * n
+    owner = polygon[line]
+    found = [(record[owner], _clamp(x, n), _clamp(y, n))]
+    names = types.dictionary_encode()
+    names = np.array([*names.dictionary.to_pylist(), None], object)[np.asarray(names.indices.fill_null(len(names.dictionary)))] if len(types) else np.zeros(0, object)
+    is_path = ~np.isin(names, ["Point", "MultiPoint"])[record][owner] if len(owner) else np.zeros(0, bool)
+    # Segments: split at every grid line they cross.
+    a = np.flatnonzero((line[1:] == line[:-1]) & is_path[1:]) if len(line) > 1 else np.zeros(0, np.int64)
+    b, every = a + 1, np.arange(len(a))
+    ts = [(every, np.zeros(len(a))), (every, np.ones(len(a)))]
+    for p in (x, y):
+        lo, hi = np.minimum(p[a], p[b]), np.maximum(p[a], p[b])
+        k = np.flatnonzero(lo != hi)
+        seg, cut = _runs(np.ceil(lo[k]).astype(np.int64), np.floor(hi[k]).astype(np.int64))
+        seg = k[seg]
+        ts.append((seg, (cut - p[a[seg]]) / (p[b[seg]] - p[a[seg]])))
+    seg, t = (np.concatenate(z) for z in zip(*ts))
+    keep = (t >= 0) & (t <= 1)
+    seg, t = seg[keep], t[keep]
+    order = np.lexsort((t, seg))
+    seg, t = seg[order], t[order]
+    same = np.flatnonzero(seg[1:] == seg[:-1])
+    seg, t = np.concatenate([seg, seg[same]]), np.concatenate([t, (t[same] + t[same + 1]) / 2])
+    i, j = a[seg], b[seg]
+    found.append((record[owner[i]], _clamp(x[i] + t * (x[j] - x[i]), n), _clamp(y[i] + t * (y[j] - y[i]), n)))
+    # Polygons: in every row the stretches between an odd and an even crossing of its middle.
+    is_area = np.isin(names, ["Polygon", "MultiPolygon"])[record][owner] if len(owner) else np.zeros(0, bool)
+    i = np.flatnonzero(is_area)
+    first = np.cumsum(positions) - positions
+    nxt = np.where(i + 1 < (first + positions)[line[i]], i + 1, first[line[i]])
+    lo, hi = np.minimum(y[i], y[nxt]), np.maximum(y[i], y[nxt])
+    edge, row = _runs(np.maximum(np.ceil(lo - 0.5) - 1, 0).astype(np.int64), np.minimum(np.ceil(hi - 0.5), n - 1).astype(np.int64))
+    i, nxt, mid = i[edge], nxt[edge], row + 0.5
+    keep = (y[i] <= mid) != (y[nxt] <= mid)
+    i, nxt, row, mid = i[keep], nxt[keep], row[keep], mid[keep]
+    cross = x[i] + (mid - y[i]) * (x[nxt] - x[i]) / (y[nxt] - y[i])
+    of = owner[i]
+    order = np.lexsort((cross, row, of))
+    of, row, cross = of[order], row[order], cross[order]
+    left, right = cross[::2], cross[1::2]  # every row of a polygon has an even number
+    k, inside = _runs(np.maximum(np.ceil(left - 0.5), 0).astype(np.int64), np.minimum(np.floor(right - 0.5), n - 1).astype(np.int64))
+    found.append((record[of[::2][k]], inside, row[::2][k]))
+    rec, tx, ty = (np.concatenate(z) for z in zip(*found))
+    key = np.unique((rec * n + tx) * n + ty) if len(polygons) << (2 * zoom) < 1 << 62 else None
+    if key is None:
+        rows = np.unique(np.stack([rec, tx, ty], axis=1), axis=0)
+        return rows[:, 0], rows[:, 1], rows[:, 2]
+    return key // n // n, key // n % n, key % n
+
 
+def tile_cover(geom_type: Column | str, coords: Column | str, zoom: int) -> Column:
+    """``cover`` as a column (Arrow batches at once); points alone stay in the JVM."""
     kind = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64()), ("z", pa.int32())]))
 
     def run(types: pa.Array, geometries: pa.Array) -> pa.Array:
-        return pa.array([cover(t, c, zoom) for t, c in zip(types.to_pylist(), geometries.to_pylist())], kind)
+        try:
+            rec, x, y = cover_batch(types, geometries, zoom)
+        except ValueError:
+            return pa.array([cover(t, c, zoom) for t, c in zip(types.to_pylist(), geometries.to_pylist())], kind)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rec, minlength=len(types)))])
+        tiles = pa.StructArray.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), zoom, np.int32))], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tiles).cast(kind)
 
     run.__annotations__ = {"types": pa.Array, "geometries": pa.Array, "return": pa.Array}
     udf = F.arrow_udf(run, T.ArrayType(TILE))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -37,6 +37,14 @@ def dataset_bounds(rows: DataFrame, col: str = "bbox") -> DataFrame:
     return rows.agg(F.min(f"{col}.w").alias("w"), F.min(f"{col}.s").alias("s"), F.max(f"{col}.e").alias("e"), F.max(f"{col}.n").alias("north"))
 
 
+def progress(rows: DataFrame, every: int, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """``rows`` unchanged, and what is observed as an action passes them: their
+    number and how many full steps of ``every`` rows that is.  No pass is added, and
+    nothing is logged row by row."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n"), F.floor(F.count(F.lit(1)) / every).alias("steps")), seen
+
+
 def packed_size() -> Column:
     """Payload bytes of a feature row, by arithmetic alone."""
     v = G.varint_size

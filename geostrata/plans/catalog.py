@@ -533,6 +533,13 @@ def parse_ok(spark, d):
     return J.parse(events_json(spark, d)).groupBy(F.col("_corrupt_record").isNull().alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@q("partial_read", with_("po") + f"SELECT id, {QBOX} FROM po GROUP BY id HAVING max(lon) >= -20 AND min(lon) <= 40 AND max(lat) >= -30 AND min(lat) <= 30")
+def partial_read(spark, d):
+    """Ids and bounds alone, of the records that meet a rectangle: nothing else is decoded."""
+    f = R.scan(spark, packed_copy(spark, d, "polygons"), columns="id,bbox", bounds="-20,-30,40,30")
+    return f.select("id", *[unit(f"bbox.{k}").alias(n) for k, n in zip("wsen", ("qw", "qs", "qe", "qn"))])
+
+
 @q("nonnull_geom", "SELECT event_id AS id FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0")
 def nonnull_geom(spark, d):
     return J.nonnull(J.parse(events_json(spark, d))).select("id")
@@ -1016,6 +1023,13 @@ def bench_write(spark, d):
     return R.scan(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(G.vertex_count()).cast("long").alias("positions"))
 
 
+@q("progress_log", with_("pt") + "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) // 100 AS BIGINT) AS steps FROM pt")
+def progress_log(spark, d):
+    rows, seen = A.progress(V.points(spark, d), 100)
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n"], seen.get["steps"])], "n long, steps long")
+
+
 @q("stream_append", QPOINT)
 def stream_append(spark, d):
     """A packed folder read as a stream to its present end."""

@@ -96,3 +96,27 @@ def test_empty():
     got = batch.decode_all(b"", start, end, FEATURE_COLUMNS)
     assert all(len(got[c]) == 0 and got[c].type == KIND[c] for c in FEATURE_COLUMNS)
     assert len(batch.encode_all(*arrays([]))) == 0
+
+
+def test_tile_covers():
+    from geostrata.functions import tiles
+
+    r = random.Random(9)
+    rows = []
+    for k in range(400):
+        f = feature(r)
+        spread = r.choice([0.01, 1, 20])
+        x0, y0 = r.uniform(-150, 150), r.uniform(-80, 80)
+        if f["coords"] and k % 2:
+            f["coords"] = [[[[x0 + p[0] / 180 * spread, y0 + p[1] / 90 * spread, *p[2:]] for p in line] for line in polygon] for polygon in f["coords"]]
+        if k % 50 == 0:
+            f = {"geom_type": "Polygon", "coords": [[[[0.0, 0.0], [0.0, 10.0], [10.0, 10.0], [10.0, 0.0], [0.0, 0.0]], [[2.0, 2.0], [2.0, 8.0], [8.0, 8.0], [8.0, 2.0]]]]}
+        rows.append((f["geom_type"], f["coords"]))
+    types, coords = pa.array([t for t, _ in rows], pa.string()), pa.array([c for _, c in rows], KIND["coords"])
+    for zoom in (0, 3, 6):
+        rec, x, y = tiles.cover_batch(types.slice(3), coords.slice(3), zoom)
+        got = list(zip(rec.tolist(), x.tolist(), y.tolist()))
+        want = [(k, t["x"], t["y"]) for k, (kind, c) in enumerate(rows[3:]) for t in tiles.cover(kind, c, zoom)]
+        assert len(set(got) ^ set(want)) <= len(want) // 10_000 and got == sorted(got)
+    rec, x, y = tiles.cover_batch(types.slice(0, 0), coords.slice(0, 0), 5)
+    assert len(rec) == 0

@@ -216,11 +216,11 @@ def chunk(df: DataFrame, col: str) -> DataFrame:
 def _coords(kind: Column, raw: Column) -> Column:
     out = F.lit(None).cast("array<array<array<array<double>>>>")
     wrap = {1: lambda c: F.array(F.array(F.array(c))), 2: lambda c: F.array(F.array(c)), 3: lambda c: F.array(c), 4: lambda c: c}
-    for name in TYPES:
-        d = _DEPTH[name]
+    empty = F.array().cast("array<array<array<array<double>>>>")
+    full = lambda d: lambda x: F.when(F.size(x) > 0, wrap[d](x)).otherwise(empty)
+    for d in (4, 3, 2, 1):
         c = F.from_json(raw, "array<" * d + "double" + ">" * d)
-        empty = F.array().cast("array<array<array<array<double>>>>")
-        out = F.when(kind == name, F.when(F.size(c) > 0, wrap[d](c)).otherwise(empty)).otherwise(out)
+        out = F.when(kind.isin(*[t for t in TYPES if _DEPTH[t] == d]), F.transform(F.array(c), full(d))[0]).otherwise(out)  # parsed once
     return out
 
 

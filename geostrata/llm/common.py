@@ -125,7 +125,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         now = e.select(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now["n"] == 0 or tuple(now) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(  # e stays: the result is lazy
                 e.select(F.col("v").alias("node"), F.col("v").alias("root"))
             ).distinct()
         before = tuple(now)

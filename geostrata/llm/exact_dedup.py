@@ -221,13 +221,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "digests")
-    new = rows
-    if index is None:
+    new, own = rows, index is None
+    if own:
         old = F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)), F.lit(2)) == 0
         history, new = materialise(fold(rows.where(old)), "history"), rows.where(~old)
         index = build_index(history)
         release(history)
-    winners = materialise(lookup(index, materialise(fold(new), "arrivals")), "winners")
+    arrivals = materialise(fold(new), "arrivals")
+    winners = materialise(lookup(index, arrivals), "winners")
+    for t in (arrivals, index) if own else (arrivals,):
+        release(t)
     out = attach(rows.drop("len"), winners, "digest", "group_size", rows.count(), ["keep_id", "keep_row", "group_size"])
     return out.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")

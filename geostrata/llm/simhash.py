@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, load, materialise, small_batches
+from .common import attach, components, load, materialise, release, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: First bit and width of the parts; the radius that one of them keeps.
@@ -265,11 +265,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, fingerprint, component_id)`` for every row."""
     rows = materialise(fingerprint_rows(docs, id_col, text_col), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
-    comp = materialise(components(links(nodes), "a", "b"), "components")
+    near = links(nodes)
+    comp = materialise(components(near, "a", "b"), "components")
+    release(near)
     joined = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     low = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("component_size"))
-    labelled = attach(joined, low, "root", "k", max(1, nodes.count()), ["component_id", "component_size"])
-    out = attach(rows, materialise(labelled, "labelled"), "fp", "n", rows.count(), ["component_id", "component_size"])
+    labelled = materialise(attach(joined, low, "root", "k", max(1, nodes.count()), ["component_id", "component_size"]), "labelled")
+    for t in (comp, nodes):
+        release(t)
+    out = attach(rows, labelled, "fp", "n", rows.count(), ["component_id", "component_size"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 

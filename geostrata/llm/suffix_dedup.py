@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialise, small_batches
+from .common import load, materialise, release, small_batches
 
 WIDTH, GRAM, SHALLOW, HOT = 100, 36, 32, 50_000
 #: Grams of one string; reach of a context to the left of its minimizer.
@@ -456,7 +456,10 @@ def removals(rows: DataFrame, hot: int = HOT) -> DataFrame:
         least = first.groupBy("string").agg(F.min(F.struct("doc", "a")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
         again = first.join(least, "string").where("doc <> m.doc or a <> m.a")
         out = out.unionByName(again.select("doc", "a", "b"))
-    return materialise(out, "removed")
+    out = materialise(out, "removed")
+    for t in (folded, ctx, warm) if n_big else (folded, ctx):
+        release(t)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:

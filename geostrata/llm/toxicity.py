@@ -28,9 +28,11 @@ import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -51,7 +53,7 @@ STUTTER, DECAY = 0.2, 0.001
 SLACK = 0.005
 _CACHE = 150_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = re.compile(r"^\W+|\W+$")
+_CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -59,6 +61,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts' ``words`` as numbers, where each text's begin (and the last's end),
+    and the different words by number."""
+    lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+    flat = pc.dictionary_encode(lists.values)
+    ids, vocab = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    some = ids != (vocab.index("") if "" in vocab else -1)  # space at a text's ends gives empty ones
+    return ids[some], np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy()], vocab
+
+
 def features(tokens: list[str], block: int = 16384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_features`` in blocks, so that its working memory stays bounded."""
     parts = [_features(tokens[a : a + block]) for a in range(0, len(tokens), block)] or [_features([])]
@@ -69,22 +81,18 @@ def _features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word bucket of each token, and its n-gram buckets as a flat array with
     the number of n-grams of each token.  N-grams are runs of 3 to 5 bytes of
     the token between two marks; punctuation at its edges doesn't count."""
-    raw = [b"\x02" + (_EDGE.sub("", t) or t).encode() + b"\x03" for t in tokens]
+    raw = [b"\x02" + (t if t.isalnum() or not (core := _CORE.search(t)) else core[0]).encode() + b"\x03" for t in tokens]
     size = np.array([len(r) for r in raw], np.int64)
     buf = np.frombuffer(b"".join(raw) + bytes(5), np.uint8).astype(np.uint64) + np.uint64(1)
     end = np.repeat(np.cumsum(size), size)
-    owner = np.repeat(np.arange(len(raw)), size)
-    n = len(owner)
-    h, own, gram = np.zeros(n, np.uint64), [], []
+    n = len(end)
+    h, grams = np.zeros(n, np.uint64), np.empty((n, 3), np.int32)
     for k in range(1, 6):
         h = (h + buf[k - 1 : n + k - 1]) * _A
         h ^= h >> np.uint64(29)
         if k > 2:
-            ok = np.arange(n) + k <= end
-            own.append(owner[ok])
-            gram.append(((h[ok] * _C) >> np.uint64(64 - GRAMS.bit_length() + 1)).astype(np.int32))
-    own, gram = np.concatenate(own), np.concatenate(gram)
-    o = np.argsort(own, kind="stable")
+            grams[:, k - 3] = (h * _C) >> np.uint64(64 - GRAMS.bit_length() + 1)
+    inside = (end - np.arange(n))[:, None] >= np.arange(3, 6)
     # The word's own hash: a sum over its bytes of position and byte, mixed.
     at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
     cell = (buf[:n] * _C + at.astype(np.uint64) * _A) * (buf[:n] | np.uint64(1))
@@ -92,7 +100,7 @@ def _features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cell *= _C
     word = np.add.reduceat(cell, np.cumsum(size) - size) if n else np.zeros(0, np.uint64)
     word = ((word ^ (word >> np.uint64(32))) * _A) >> np.uint64(64 - WORDS.bit_length() + 1)
-    return word.astype(np.int32), gram[o], np.bincount(own, minlength=len(raw))
+    return word.astype(np.int32), grams[inside], np.maximum(size[:, None] - np.arange(2, 5), 0).sum(axis=1)
 
 
 def project_all(p: dict, word: np.ndarray, gram: np.ndarray, n: np.ndarray, block: int = 8192) -> np.ndarray:
@@ -105,8 +113,24 @@ def project_all(p: dict, word: np.ndarray, gram: np.ndarray, n: np.ndarray, bloc
 
 
 def embed(p: dict, word: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    chars = np.add.reduceat(p["Ec"][gram], np.cumsum(n) - n, axis=0) / n[:, None] if len(n) else np.zeros((0, DIM), np.float32)
-    return np.concatenate([p["Ew"][word], chars], axis=1).astype(np.float32)
+    return np.concatenate([p["Ew"][word], gram_sums(p["Ec"], gram, n) / n[:, None]], axis=1).astype(np.float32)
+
+
+def gram_sums(table: np.ndarray, gram: np.ndarray, n: np.ndarray, most: int = 64) -> np.ndarray:
+    """Sums of each word's n-gram rows: the k-th n-grams of all words together,
+    but for words of more than ``most``."""
+    out, first, long = np.zeros((len(n), table.shape[1]), table.dtype), np.cumsum(n) - n, n > most
+    if long.any():
+        size = n[long]
+        out[long] = np.add.reduceat(np.take(table, gram[np.repeat(long, n)], axis=0), np.cumsum(size) - size, axis=0)
+    order = np.argsort(-n, kind="stable")[long.sum() :]
+    first, acc = first[order], np.zeros((len(order), table.shape[1]), table.dtype)
+    for k, live in enumerate(np.searchsorted(-n[order], -np.arange(most), "left")):
+        if not live:
+            break
+        acc[:live] += np.take(table, gram[first[:live] + k], axis=0)
+    out[order] = acc
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -204,49 +228,80 @@ def project(p: dict, x: np.ndarray) -> np.ndarray:
     return np.matmul(x[None], p["W"]) + p["b"]
 
 
-def score_windows(p: dict, table: np.ndarray, ids: np.ndarray, block: int = 1024) -> np.ndarray:
+def eased(p: dict) -> dict:
+    """Parameters as ``score_windows`` takes them: a gate's inputs negated, those
+    of a tangent doubled as well, so that both are an exponential and a division."""
+    by = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
+    return p | {"W": p["W"] * by, "b": p["b"] * by, "U": p["U"] * by, "A": p["A"] * np.float32(-2), "v": p["v"] * np.float32(2)}
+
+
+def score_windows(q: dict, table: np.ndarray, ids: np.ndarray, block: int = 1024) -> np.ndarray:
     """Logits of windows of word ids (-1: none) into a table of projections, as
-    ``forward`` gives them, with fewer passes over memory."""
+    ``forward`` gives them, with fewer passes over memory.  q: ``eased`` parameters,
+    by which the table is made too.  Windows lie along the last axis throughout."""
     out, hid, (_, width) = np.zeros(len(ids), np.float32), HIDDEN, ids.shape
-    for a in range(0, len(ids), block):
-        w = ids[a : a + block]
-        n, at, mask = len(w), np.maximum(w, 0), (w >= 0).astype(np.float32)
-        ragged, h = bool((w < 0).any()), np.zeros((2, len(w), hid), np.float32)
-        seq, u, g = np.empty((width, n, 2 * hid), np.float32), np.empty((2, n, 3 * hid), np.float32), np.empty((2, n, 3 * hid), np.float32)
-        for k in range(width):
-            back = width - 1 - k
-            np.take(table[0], at[:, k], axis=0, out=g[0], mode="clip")
-            np.take(table[1], at[:, back], axis=0, out=g[1], mode="clip")
-            np.matmul(h, p["U"], out=u)
-            rz = g[..., : 2 * hid] + u[..., : 2 * hid]  # the logistic function by its tangent
-            rz *= 0.5
-            np.tanh(rz, out=rz)
-            rz += 1
-            rz *= 0.5
-            new = rz[..., :hid] * u[..., 2 * hid :]
-            new += g[..., 2 * hid :]
-            np.tanh(new, out=new)
-            nxt = h - new
-            nxt *= rz[..., hid:]
-            nxt += new
+    ut, at_ = np.ascontiguousarray(q["U"].transpose(0, 2, 1)), np.ascontiguousarray(q["A"].T)
+    with np.errstate(over="ignore"):  # an infinite exponential is a gate of 0
+        for a in range(0, len(ids), block):
+            w = np.ascontiguousarray(ids[a : a + block].T)
+            n, at, none = w.shape[1], np.maximum(w, 0), w < 0
+            ragged, gone = bool(none.any()), none.astype(np.float32)
+            seq, h, row = np.empty((width, 2 * hid, n), np.float32), np.zeros((2, hid, n), np.float32), np.empty((2, n, 3 * hid), np.float32)
+            u, g = np.empty((2, 3 * hid, n), np.float32), np.empty((2, 3 * hid, n), np.float32)
+            rz, new, r, z = u[:, : 2 * hid], u[:, 2 * hid :], u[:, :hid], u[:, hid : 2 * hid]
+            for k in range(width):
+                back = width - 1 - k
+                np.take(table[0], at[k], axis=0, out=row[0], mode="clip")
+                np.take(table[1], at[back], axis=0, out=row[1], mode="clip")
+                np.copyto(g, row.transpose(0, 2, 1))
+                np.matmul(ut, h, out=u)
+                rz += g[:, : 2 * hid]
+                np.exp(rz, out=rz)
+                rz += 1
+                np.reciprocal(rz, out=rz)
+                new *= r
+                new += g[:, 2 * hid :]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                if ragged:  # without a word the state stays
+                    np.maximum(z[0], gone[k], out=z[0])
+                    np.maximum(z[1], gone[back], out=z[1])
+                h -= new
+                h *= z
+                h += new
+                seq[k, :hid], seq[back, hid:] = h
+            e = np.matmul(at_, seq)
+            np.exp(e, out=e)
+            e += 1
+            np.reciprocal(e, out=e)
+            e = np.matmul(q["v"], e)  # but for a constant, which falls out
             if ragged:
-                nxt = h + np.stack([mask[:, k], mask[:, back]])[:, :, None] * (nxt - h)
-            h = nxt
-            seq[k, :, :hid], seq[back, :, hid:] = h[0], h[1]
-        e = np.tanh(seq.reshape(-1, 2 * hid) @ p["A"]) @ p["v"]
-        e = np.where(mask.T > 0, e.reshape(width, n), -30)
-        e = np.exp(e - e.max(axis=0)) * (mask.T > 0)
-        s = (seq.reshape(-1, 2 * hid) @ p["w"]).reshape(width, n)
-        out[a : a + block] = (e * s).sum(axis=0) / np.maximum(e.sum(axis=0), 1e-9) + p["c"][0]
+                e[none] = -np.inf
+                e[0, none.all(axis=0)] = 0
+            e = np.exp(e - e.max(axis=0))
+            out[a : a + block] = (e * np.matmul(q["w"], seq)).sum(axis=0) / e.sum(axis=0) + q["c"][0]
     return out
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
     """All overlapping windows of a text's word ids, the last padded with -1."""
-    n = max(1, -(-(len(ids) - WIDTH + STRIDE) // STRIDE)) if len(ids) else 0
-    full = np.full((n - 1) * STRIDE + WIDTH if n else 0, -1, np.int32)
-    full[: len(ids)] = ids
-    return full[np.arange(n)[:, None] * STRIDE + np.arange(WIDTH)] if n else full.reshape(0, WIDTH)
+    return cells(ids, *places(np.array([0, len(ids)]))[1:])
+
+
+def places(start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose words begin at ``start`` (its last entry: their end): how many
+    windows each has, where each window begins, and where its text ends."""
+    size = np.diff(start)
+    n = np.where(size > 0, np.maximum(1, -(-(size - WIDTH + STRIDE) // STRIDE)), 0)
+    return n, np.repeat(start[:-1] - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum()), np.repeat(start[1:], n)
+
+
+def cells(ids: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Windows' word ids, -1 beyond their texts' ends."""
+    at = low[:, None] + np.arange(WIDTH)
+    return np.where(at < end[:, None], np.take(ids, at, mode="clip"), -1).astype(np.int32) if len(low) else np.zeros((0, WIDTH), np.int32)
 
 
 class Adam:
@@ -373,11 +428,11 @@ class Scorer:
     """Scores texts with the words' input projections kept in a table."""
 
     def __init__(self, p: dict):
-        self.p, self.ids, self.n = p, {}, 0
-        self.table = np.zeros((2, 4096, 3 * HIDDEN), np.float32)
+        self.p, self.q, self.ids, self.n = p, eased(p), {}, 0
+        self.table = np.zeros((2, _CACHE, 3 * HIDDEN), np.float32)  # memory is taken as it fills
 
     def _learn(self, new: list[str]) -> None:
-        gx = project_all(self.p, *features(new))
+        gx = project_all(self.q, *features(new))
         while self.n + len(new) > self.table.shape[1]:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
         self.table[:, self.n : self.n + len(new)] = gx
@@ -388,50 +443,49 @@ class Scorer:
         """A probability for each text."""
         slope, offset = self.p["cal"]
         best = np.full(len(texts), self.p["c"][0], np.float64)
-        group, size, tokens = [], 0, [None] * len(texts)
-        for k, t in enumerate(texts):
-            tokens[k] = words(t)
-            group.append(k)
-            size += len(tokens[k])
-            if size > 40_000 or k == len(texts) - 1:
-                self._score(group, tokens, best)
-                group, size, tokens = [], 0, [None] * len(texts)
+        for some, s, *_ in self._highest(texts):
+            best[some] = s
         return _sigmoid(slope * best + offset)
 
-    def _score(self, group: list[int], tokens: list, best: np.ndarray) -> None:
-        new = list({w for k in group for w in tokens[k]}.difference(self.ids))
-        if self.n + len(new) > _CACHE:
-            self.ids, self.n = {}, 0
-            new = list({w for k in group for w in tokens[k]})
-        if new:
-            self._learn(new)
-        get = self.ids.__getitem__
-        parts = [windows(np.fromiter(map(get, tokens[k]), np.int32, len(tokens[k]))) for k in group]
-        n = np.array([len(x) for x in parts])
-        if n.sum():
-            s = score_windows(self.p, self.table, np.concatenate(parts))
-            some = np.flatnonzero(n)
-            best[np.array(group)[some]] = np.maximum.reduceat(s, (np.cumsum(n) - n)[some])
-
-    def highest(self, text: str) -> tuple[float, list[str]] | None:
-        """The logit and the words of a text's highest window; None without words."""
-        tokens, best = words(text), None
-        step = 3000 * STRIDE  # of a long text, so many windows at a time
-        for a in range(0, max(1, len(tokens) - WIDTH + STRIDE), step):
-            part = tokens[a : a + step - STRIDE + WIDTH]
-            if not part:
-                break
-            new = list(dict.fromkeys(t for t in part if t not in self.ids))
+    def highest(self, texts: list[str]) -> list[tuple[float, list[str]] | None]:
+        """The logit and the words of each text's highest window; None without words."""
+        out: list = [None] * len(texts)
+        for some, s, low, end, word, vocab in self._highest(texts):
+            for k, *x, a, z in zip(some.tolist(), s.tolist(), low, end):
+                out[k] = (*x, [vocab[w] for w in word[a : min(z, a + WIDTH)]])
+        return out
+
+    def _highest(self, texts: list[str]) -> Iterator[tuple]:
+        """In portions: numbers of the texts with words, their highest windows'
+        logits, begins and ends of text; words as numbers, and the different ones."""
+        size = np.cumsum([len(t) for t in texts]) >> 18
+        for group in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1) if len(texts) else ():
+            word, start, vocab = numbered([texts[k] for k in group])
+            n, low, end = places(start)
+            if len(low):
+                s, first = self._logits(word, low, end, vocab), np.cumsum(n) - n
+                some = np.flatnonzero(n)
+                top = np.maximum.reduceat(s, first[some])
+                hit = np.flatnonzero(~(s < np.repeat(top, n[some])))  # the first of equals
+                at = hit[np.searchsorted(hit, first[some])]
+                yield group[some], top, low[at], end[at], word, vocab
+
+    def _logits(self, word: np.ndarray, low: np.ndarray, end: np.ndarray, vocab: list[str], block: int = 4096) -> np.ndarray:
+        """Logits of windows, so many at a time."""
+        out, at = np.empty(len(low), np.float32), np.fromiter(map(self.ids.get, vocab, repeat(-1)), np.int32, len(vocab))
+        for a in range(0, len(low), block):
+            w, used = cells(word, low[a : a + block], end[a : a + block]), np.zeros(len(vocab) + 1, bool)
+            used[w] = True  # the last: no word
+            used = np.flatnonzero(used[:-1])
+            new = used[at[used] < 0]
             if self.n + len(new) > _CACHE:
-                self.ids, self.n = {}, 0
-                new = list(dict.fromkeys(part))
-            if new:
-                self._learn(new)
-            s = score_windows(self.p, self.table, windows(np.fromiter(map(self.ids.__getitem__, part), np.int32, len(part))))
-            k = int(s.argmax())
-            if best is None or s[k] > best[0]:
-                best = float(s[k]), part[k * STRIDE : k * STRIDE + WIDTH]
-        return best
+                self.ids, self.n, new = {}, 0, used
+                at[:] = -1
+            if len(new):
+                at[new] = np.arange(self.n, self.n + len(new))
+                self._learn([vocab[k] for k in new])
+            out[a : a + block] = score_windows(self.q, self.table, np.where(w < 0, -1, at[w]))
+        return out
 
 
 def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -472,16 +526,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             c = Scorer(held.value) if held.value else None
             for b in batches:
                 out: tuple[list, ...] = ([], [], [], [])
-                for who, toxic, text in zip(*(b.column(c).to_pylist() for c in range(3))):
-                    if c is None:
-                        best = (0.0, "")
-                    else:
-                        best = c.highest(text or "")
-                        best = best and (best[0], " ".join(best[1]))
+                rows = [b.column(k).to_pylist() for k in range(3)]
+                texts = [t or "" for t in rows[2]]
+                tops = c.highest(texts) if c else repeat((0.0, []))
+                for who, toxic, text, best in zip(*rows[:2], texts, tops):
                     many = FIRST if k == 0 else DRAWN if k > 0 and not toxic else 0
-                    some = drawn(words(text or ""), many, (who & 0xFFFFFFFFFFFFFFFF, k)) if many else []
+                    some = drawn(words(text), many, (who & 0xFFFFFFFFFFFFFFFF, k)) if many else []
                     if best and (some or c is not None):
-                        for to, v in zip(out, (who, *best, some)):
+                        for to, v in zip(out, (who, best[0], " ".join(best[1]), some)):
                             to.append(v)
                 kinds = (pa.int64(), pa.float64(), pa.string(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["id", "logit", "line", "drawn"])

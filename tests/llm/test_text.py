@@ -249,6 +249,50 @@ def test_scoring_is_the_naive_forward_pass():
         assert abs(got - sig(1.3 * logit - 0.2)) < 1e-5, t
 
 
+def test_many_texts_share_passes(monkeypatch):
+    rng, calls, real = np.random.default_rng(6), [], toxicity.score_windows
+    p = toxicity.fresh() | {"Ew": rng.standard_normal((toxicity.WORDS, toxicity.DIM)).astype(np.float32)}
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, rng.integers(0, 90))) for _ in range(200)] + ["", " \t"]
+    monkeypatch.setattr(toxicity, "score_windows", lambda *a: calls.append(1) or real(*a))
+    got = toxicity.Scorer(p).highest(texts)
+    assert len(calls) == 1 and len(got) == len(texts)
+    monkeypatch.setattr(toxicity, "_CACHE", 100)  # words are forgotten and learnt again
+    one = toxicity.Scorer(p)
+    for t, x in zip(texts, got):
+        w, alone = toxicity.words(t), one.highest([t])[0]
+        assert (x is None) == (alone is None) == (not w)
+        if w:
+            assert abs(x[0] - alone[0]) < 1e-5 and x[1] in [w[a : a + 24] for a in range(0, max(1, len(w) - 12), 12)]
+
+
+def test_numbered_words():
+    rng = np.random.default_rng(7)
+    pool = list("abc !-İΣσ漢🙂é²") + ["\x1c", "\x85", "\xa0", "\u2028", "\0", *" \t\n\x0b\x0c\r" * 2]
+    texts = ["".join(rng.choice(pool, n)) for n in rng.integers(0, 40, 2000)]
+    for some in (texts, [""], ["", " \n"], ["a"]):
+        ids, start, vocab = toxicity.numbered(some)
+        assert [[vocab[k] for k in ids[a:z]] for a, z in zip(start, start[1:])] == [toxicity.words(t) for t in some]
+
+
+def test_sums_of_ngrams():
+    rng = np.random.default_rng(8)
+    n, table = rng.integers(1, 12, 50), rng.standard_normal((40, toxicity.DIM)).astype(np.float32)
+    gram, end = rng.integers(0, 40, n.sum()), np.cumsum(n)
+    want = [table[gram[z - k : z]].sum(axis=0) for k, z in zip(n, end)]
+    for most in (1, 5, 64):
+        assert np.allclose(toxicity.gram_sums(table, gram, n, most), want, atol=1e-5)
+
+
+def test_saturated_gates():
+    rng = np.random.default_rng(9)
+    p = {k: v * np.float32(30) for k, v in toxicity.fresh().items()}
+    x, ids = (rng.standard_normal((60, 2 * toxicity.DIM)) * 30).astype(np.float32), rng.integers(0, 60, (50, toxicity.WIDTH)).astype(np.int32)
+    gx = toxicity.project(p, x)
+    want = toxicity.forward(p, np.stack([gx[0][ids], gx[1][ids[:, ::-1]]]), np.ones(ids.shape))[0]
+    q = toxicity.eased(p)
+    assert np.abs(toxicity.score_windows(q, toxicity.project(q, x), ids) - want).max() < 0.1 < want.std()
+
+
 def test_held_out_labels_change_nothing(spark):
     rng = np.random.default_rng(2)
     rows = [(k, " ".join(f"w{i}" for i in rng.integers(0, 50, 30)) + " vile" * (k % 2)) for k in range(40)]

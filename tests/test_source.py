@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,20 @@ def test_index_tiles_the_file(spark, features, tmp_path):
     assert R.scan(spark, path, key="k1").rdd.getNumPartitions() < R.scan(spark, path).rdd.getNumPartitions()
 
 
+def test_index_has_a_row_for_a_key_however_often_it_is_cut(spark, features, tmp_path):
+    path = str(tmp_path / "a")
+    features.coalesce(1).write.format("packedfeature").option("range_bytes", 1000).mode("append").save(path)
+    one = list_files(path)[0]
+    assert len(json.load(open(one + ".index"))) > 3
+    (row,) = R.index(spark, path).collect()
+    xs, ys = [i % 360 - 180 for i in range(500)], [i % 170 - 85 for i in range(500)]
+    assert row[:5] == (None, 0, os.path.getsize(one), os.path.getsize(one), 500) and row[5:] == (min(xs), min(ys), max(xs), max(ys))
+    features.coalesce(1).write.format("packedfeature").mode("append").save(path)
+    whole = sum(map(os.path.getsize, list_files(path)))
+    assert [r["start"] for r in R.index(spark, path).collect()] == [0, 0]
+    assert [r[1:5] for r in R.index(spark, path, joined=True).collect()] == [(0, whole, whole, 1000)]
+
+
 def test_bounds_prune_exactly(spark, features, tmp_path):
     path = str(tmp_path / "a")
     features.write.format("packedfeature").option("range_bytes", 1000).mode("append").save(path)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from geostrata.plans import catalog
+from geostrata.sources.packed import list_files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -36,3 +37,16 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "key" in df.columns
+
+
+def test_packed_copies_are_made_by_many_tasks(spark, db, monkeypatch):
+    """No step gathers a whole view, and positions don't depend on the number of files."""
+    monkeypatch.setattr(catalog, "_copies", {})
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(list_files(catalog.packed_copy(spark, SF))) == 4 == len(list_files(catalog.packed_copy(spark, SF, "polygons")))
+        for name in ("scan_bytes_pos", "scan_feature_pos", "seek_pos", "read_range_raw", "read_range_feature", "read_range_framed", "meta_read", "meta_shift", "file_size"):
+            assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(db.execute(catalog.SQL[name]).df()), name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -126,6 +126,26 @@ def test_collections_are_cut_anywhere(spark, tmp_path, size):
     assert sorted(got, key=str) == sorted([json.loads(t) for t in texts] * 2, key=str)
 
 
+def test_joined_positions(spark, features, tmp_path, monkeypatch):
+    path = str(tmp_path / "packed")
+    features.repartitionByRange(3, "id").sortWithinPartitions("id").write.format("packedfeature").option("range_bytes", 2000).mode("overwrite").save(path)
+    files = list_files(path)
+    assert len(files) == 3
+    os.remove(files[1] + ".index")  # also a file without an index has its place
+    data = b"".join(open(f, "rb").read() for f in files)
+    want = [(bytes(p), a, z) for p, a, z in codec.records(data)]
+    raw = R.scan_raw(spark, path, joined=True)
+    assert sorted(map(tuple, raw.collect()), key=lambda r: r[1]) == want
+    for k in (1, 100, 250, 400, 499):  # in every file
+        got = R.seek(spark, path, want[k - 1][2], mode="raw", joined=True).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == want[k:]
+    some = raw.where("_pos_start % 5 = 0").select("_pos_start", "_pos_end")
+    wanted = [r for r in want if r[1] % 5 == 0]
+    for most in (R.SEEKS, 2):
+        monkeypatch.setattr(R, "SEEKS", most)
+        assert sorted(map(tuple, R.look_up(spark, path, some, joined=True).collect()), key=lambda r: r[1]) == wanted
+
+
 def test_look_up_reads_single_records(spark, features, tmp_path, monkeypatch):
     path = str(tmp_path / "packed")
     features.repartition(2).write.format("packedfeature").mode("overwrite").save(path)

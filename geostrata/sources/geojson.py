@@ -22,6 +22,12 @@ from .packed import file_system
 
 #: Bytes of a collection that one task reads at a time.
 CHUNK_BYTES = 10 << 20
+#: Bytes of a chunk that are looked through at a time.
+BLOCK = 1 << 18
+#: Bytes behind a chunk that are read first for its last feature.
+MORE = 1 << 16
+_STEP = np.zeros(256, np.int8)
+_STEP[[123, 91]], _STEP[[125, 93]] = 1, -1
 _PACKED = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate")
 
 #: Ordinates' nesting by type: dimensions of the coordinates array.
@@ -50,7 +56,7 @@ def read_texts(spark: SparkSession, path: str, lines: bool = False, chunk_bytes:
     known = [r for r in known if r[5] < r[2]]  # the others lie before or behind the features
     if not known:
         return spark.createDataFrame([], "feature string")
-    return spread(known, "file string, start long, stop long, quoted boolean, depth long, first long").mapInArrow(_cutter(path, chunk_bytes), "feature string")
+    return spread(known, "file string, start long, stop long, quoted boolean, depth long, first long").mapInArrow(_cutter(path), "feature string")
 
 
 def file_sizes(path: str) -> list[tuple[str, int]]:
@@ -67,22 +73,34 @@ def file_sizes(path: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
-def _structure(buf: np.ndarray, escaped: bool, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Whether each byte lies in a text (its opening mark doesn't), by how much it
-    changes the depth, and whether the bytes end in a text.  escaped: a backslash before the first byte makes it one
-    of a text."""
+def _structure(buf: np.ndarray, escaped: bool, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """Places of the brackets outside texts and by how much each changes the depth,
+    and whether what follows is escaped and lies in a text.  escaped: a backslash
+    before the first byte makes it one of a text."""
     n = len(buf)
-    at = np.arange(n)
-    other = np.maximum.accumulate(np.where(buf != 92, at, -1))  # the last byte that is no backslash
-    run = np.zeros(n, np.int64)  # backslashes just before a byte
-    run[1:] = at[:-1] - other[:-1]
-    lead = int(np.argmax(buf != 92)) if (buf != 92).any() else n
-    run[: lead + 1] += escaped
-    mark = (buf == 34) & (run % 2 == 0)
-    inside = ((np.cumsum(mark) - mark + quoted) % 2).astype(bool)
-    step = np.zeros(256, np.int8)
-    step[[123, 91]], step[[125, 93]] = 1, -1
-    return inside, np.where(inside, 0, step[buf]), bool((mark.sum() + quoted) % 2)
+    slash = np.flatnonzero(buf == 92)
+    odd = np.zeros(n + 1, bool)  # behind an odd number of backslashes
+    odd[0] = escaped
+    if len(slash):
+        fresh = np.diff(slash, prepend=-2) > 1
+        begin = slash[fresh][np.cumsum(fresh) - 1]
+        odd[slash + 1] = (slash - begin + 1 + (escaped & (begin == 0))) % 2 == 1
+    mark = (buf == 34) & ~odd[:n]
+    at = np.flatnonzero(_STEP[buf])
+    inside = (np.searchsorted(np.flatnonzero(mark), at) + quoted) % 2 == 1
+    at = at[~inside]
+    return at, _STEP[buf[at]].astype(np.int64), bool(odd[n]), bool((int(mark.sum()) + quoted) % 2)
+
+
+def _brackets(raw: bytes, start: int, escaped: bool, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """``_structure`` of bytes from a place on, block by block: memory follows the
+    brackets' number, not the bytes'."""
+    places, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(start, len(raw), BLOCK):
+        at, step, escaped, quoted = _structure(np.frombuffer(raw, np.uint8, min(BLOCK, len(raw) - k), k), escaped, quoted)
+        places.append(at + k)
+        steps.append(step)
+    return np.concatenate(places), np.concatenate(steps), escaped, quoted
 
 
 _COLUMNS = ("file", "start", "quoted", "after", "change", "at", "depths", "ends", "lows")
@@ -113,18 +131,17 @@ def _summaries(path: str) -> Callable:
             out = []
             for row in b.to_pylist():
                 raw, escaped, lead = _open_chunk(system, row["file"], row["start"], row["stop"])
-                buf = np.frombuffer(raw, np.uint8)
                 ends = [m.end() - 1 - len(lead) for m in _FEATURES.finditer(lead + raw)]
-                ends = [e for e in ends if e >= 0]
+                ends = np.array([e for e in ends if e >= 0], np.int64)
                 for quoted in (False, True):
-                    inside, step, last = _structure(buf, escaped, quoted)
-                    depth = np.cumsum(step.astype(np.int64))
-                    at = [e for e in ends if not inside[e]]
-                    stops = [np.flatnonzero(depth[e:] < depth[e]) for e in at]
-                    stops = [row["start"] + e + int(x[0]) if len(x) else -1 for e, x in zip(at, stops)]
+                    place, step, _, last = _brackets(raw, 0, escaped, quoted)
+                    depth = np.cumsum(step)
+                    k = np.flatnonzero(np.isin(place, ends))
+                    stops = [i + np.argmax(depth[i:] < depth[i]) for i in k.tolist()]
+                    stops = [row["start"] + int(place[x]) if depth[x] < depth[i] else -1 for i, x in zip(k.tolist(), stops)]
                     low = np.minimum.accumulate(np.minimum(depth, 0))
-                    lows = (row["start"] + np.flatnonzero(np.diff(low, prepend=0))).tolist()
-                    out.append((row["file"], row["start"], quoted, last, int(depth[-1]), [row["start"] + e for e in at], [int(depth[e]) for e in at], stops, lows))
+                    lows = (row["start"] + place[np.diff(low, prepend=0) < 0]).tolist()
+                    out.append((row["file"], row["start"], quoted, last, int(step.sum()), (row["start"] + place[k]).tolist(), depth[k].tolist(), stops, lows))
             yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, r)) for r in out], _summary_schema())
 
     return run
@@ -163,7 +180,7 @@ def _begins(rows: list[dict]) -> dict[tuple[str, int], tuple[bool, int, int]]:
     return out
 
 
-def _cutter(path: str, chunk_bytes: int) -> Callable:
+def _cutter(path: str) -> Callable:
     """The features that begin in a chunk, as texts."""
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -172,39 +189,45 @@ def _cutter(path: str, chunk_bytes: int) -> Callable:
         system, _ = file_system(path)
         for b in batches:
             for row in b.to_pylist():
-                texts = _features_of(system, row, chunk_bytes)
-                for k in range(0, len(texts), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(texts[k : k + 4096], pa.string())], ["feature"])
+                raw, opens, closes = _features_of(system, row)
+                for k in range(0, len(opens), 4096):
+                    texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(opens[k : k + 4096].tolist(), closes[k : k + 4096].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["feature"])
 
     return run
 
 
-def _features_of(system, row: dict, chunk_bytes: int) -> list[str]:  # noqa: ANN001
+def _features_of(system, row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """A chunk's bytes, with those behind it that its last feature takes up, and
+    the features' starts and ends in them."""
     file, start, stop = row["file"], row["start"], row["stop"]
     raw, escaped, _ = _open_chunk(system, file, start, stop)
-    own = len(raw)
+    own, quoted = len(raw), row["quoted"]
+    place, step, escaped, quoted = _brackets(raw, 0, escaped, quoted)
     while True:
-        buf = np.frombuffer(raw, np.uint8)
-        inside, step, _ = _structure(buf, escaped, row["quoted"])
-        depth = row["depth"] + np.cumsum(step.astype(np.int64))
+        depth, byte = row["depth"] + np.cumsum(step), np.frombuffer(raw, np.uint8)[place]
         first = row["first"] - start
         if row["first"] < 0:  # the file's only chunk
-            first = next((m.end() for m in _FEATURES.finditer(raw) if depth[m.end() - 1] == 2 and not inside[m.end() - 1]), len(raw))
+            two = set(place[(byte == 91) & (depth == 2)].tolist())
+            first = next((m.end() for m in _FEATURES.finditer(raw) if m.end() - 1 in two), len(raw))
         first = max(0, first)
-        end = np.flatnonzero((depth[first:] == 1) & (step[first:] < 0)) + first  # the array's end
+        end = place[(place >= first) & (depth == 1) & (step < 0)]  # the array's end
         until = int(end[0]) if len(end) else len(raw)
-        opens = np.flatnonzero((buf == 123) & (step > 0) & (depth == 3))
+        opens = place[(byte == 123) & (depth == 3)]
         opens = opens[(opens >= first) & (opens < min(until, own))]
-        closes = np.flatnonzero((buf == 125) & (step < 0) & (depth == 2))
+        closes = place[(byte == 125) & (depth == 2)]
         nxt = np.searchsorted(closes, opens)
         closes = closes[nxt[nxt < len(closes)]]
         if len(closes) == len(opens):
-            return [raw[a : z + 1].decode("utf-8", "replace") for a, z in zip(opens.tolist(), closes.tolist())]
+            return raw, opens, closes + 1
         with system.open_input_file(file) as f:  # the last feature goes on in the next chunk
-            more = f.read_at(max(chunk_bytes, len(raw)), start + len(raw))
+            more = f.read_at(max(MORE, len(raw) - own), start + len(raw))
         if not more:
-            return [raw[a : z + 1].decode("utf-8", "replace") for a, z in zip(opens.tolist(), closes.tolist())]
+            return raw, opens[: len(closes)], closes + 1
+        k = len(raw)
         raw += more
+        at, steps, escaped, quoted = _brackets(raw, k, escaped, quoted)
+        place, step = np.concatenate([place, at]), np.concatenate([step, steps])
 
 
 def chunk(df: DataFrame, col: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,20 @@ def test_collections_are_cut_anywhere(spark, tmp_path, size):
     assert sorted(got, key=str) == sorted([json.loads(t) for t in texts] * 2, key=str)
 
 
+def test_chunks_take_little_memory(tmp_path):
+    """A few times a chunk's bytes, not dozens."""
+    one = '{"type":"Feature","id":%d,"bbox":[1.5,2.5,1.5,2.5],"geometry":{"type":"Point","coordinates":[1.5,2.5]},"properties":{"name":"a \\"name\\" of %d"}}'
+    path, size = str(tmp_path / "a.json"), 1 << 22
+    open(path, "w").write('{"type":"FeatureCollection","features":[' + ",\n".join(one % (k, k) for k in range(40_000)) + "]}")
+    chunk = pa.RecordBatch.from_pylist([{"file": path, "start": 0, "stop": size, "quoted": False, "depth": 0, "first": 40}])
+    for run in (J._summaries(path), J._cutter(path)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run([chunk]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 6 * size, peak / size
+
+
 def test_joined_positions(spark, features, tmp_path, monkeypatch):
     path = str(tmp_path / "packed")
     features.repartitionByRange(3, "id").sortWithinPartitions("id").write.format("packedfeature").option("range_bytes", 2000).mode("overwrite").save(path)

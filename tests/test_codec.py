@@ -118,3 +118,15 @@ def test_streams_concatenate():
     a, b = codec.frame(b"one"), codec.frame(b"x" * 300)
     assert [p for p, _, _ in codec.records(a + b)] == [b"one", b"x" * 300]
     assert [(s, e) for _, s, e in codec.records(a + b)] == [(2, 5), (8, 308)]
+
+
+def test_few_varints_are_those_of_many():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 15, 16, 17, 100):
+        v = rng.integers(0, 1 << 63, n, np.uint64) >> rng.integers(0, 63, n).astype(np.uint64)
+        v[: n // 5] = np.uint64((1 << 64) - 1)
+        whole = codec.varints(v)
+        assert whole == b"".join(codec.varint(int(x)) for x in v)
+        far = codec.read_varints(whole + b"\x01" * 200 + b"\x80")  # long enough for the other way; a cut one at the end counts not
+        assert codec.read_varints(whole).tolist() == v.tolist() == far[:n].tolist() and len(far) == n + 200
+        assert codec.read_varints(whole + b"\x80").tolist() == v.tolist()

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from geostrata.functions import codec
 from geostrata.operators import aggregate, export
 from geostrata.plans import catalog, features
@@ -33,3 +35,13 @@ def test_queries_call_the_operators(spark, monkeypatch):
     catalog.QUERIES["pipe_row"](spark, SF)
     catalog.QUERIES["stats_string"](spark, SF)
     assert called == ["pipe_rows", "stats_string"]
+
+
+def test_statistics_are_taken_by_many_tasks(spark):
+    """However few splits the input has; each feature once."""
+    p = features.points(spark, SF).coalesce(1)
+    got = aggregate.stats_timed(p).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > spark.sparkContext.defaultParallelism
+    want = {r["id"]: tuple(r)[1:] for r in aggregate.stats(p).collect()}
+    assert {r["id"]: (r["type"], r["verticies"], r["number_properties"], r["size_json"], r["size_buf"]) for r in got} == want
+    assert len(got) == len(want) and all(r[f"time_{x}"] > 0 for r in got for x in ("read_json", "write_json", "read_buf", "write_buf"))

@@ -3,9 +3,10 @@ import random
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from geostrata.functions import codec
+from geostrata.functions import batch, codec
 from geostrata.schema import TYPES
 
 
@@ -130,3 +131,13 @@ def test_few_varints_are_those_of_many():
         far = codec.read_varints(whole + b"\x01" * 200 + b"\x80")  # long enough for the other way; a cut one at the end counts not
         assert codec.read_varints(whole).tolist() == v.tolist() == far[:n].tolist() and len(far) == n + 200
         assert codec.read_varints(whole + b"\x80").tolist() == v.tolist()
+
+
+def test_ids_of_any_size():
+    """The whole id is written, also beyond the five bytes that the queries' SQL spells out."""
+    ids = [0, 127, (1 << 35) - 1, 1 << 35, 59_000_014_999, (1 << 63) - 1, -1]
+    rows = [{"id": i, "properties": {}, "geom_type": "Point", "dims": 2, "coords": [[[[1.5, 2.5]]]]} for i in ids]
+    columns = [pa.array([r[c] for r in rows], batch._KINDS[c]) for c in ("id", "properties", "geom_type", "dims", "coords")]
+    for r, payload in zip(rows, batch.encode_all(*columns).to_pylist()):
+        assert payload == codec.encode(r) and codec.read_varint(payload, 1)[0] == r["id"] & ((1 << 64) - 1)
+        assert codec.decode(payload)["id"] == r["id"]
